@@ -72,19 +72,22 @@ SELECT -1 - s_suppkey AS feature_id, 'area' AS kind,
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
 
-ESTIMATES = f"""
+_ESTIMATES = """
 SELECT id,
   price * (0.7e0 + ((id * 17) % 61) / 1e2) AS estimate,
   price * (0.7e0 + ((id * 17) % 61) / 1e2) * 0.8e0 AS estimate_low,
   price * (0.7e0 + ((id * 17) % 61) / 1e2) * 1.2e0 AS estimate_high,
   CASE WHEN estate_type = 'land' THEN 'land' ELSE 'built' END AS estimate_market
-FROM ({LISTINGS}) l
+FROM {source}
 WHERE estate_benefit = 'sell' AND price > 0 AND area > 0
   AND CASE WHEN estate_type = 'land'
       THEN price >= 1000 AND price / CASE WHEN area > 0 THEN area END BETWEEN 10e0 AND 20000e0
       ELSE price BETWEEN 50000e0 AND 50000000e0 END
 """
 
+ESTIMATES = _ESTIMATES.format(source=f"({LISTINGS}) l")
+ESTIMATES_OF_L = _ESTIMATES.format(source="l")  # where a query already names the listings l
+
 # One proposed value per document: null values, null evidence, out-of-range values and spans
 # that do or do not occur in the text.
 CANDIDATES = """

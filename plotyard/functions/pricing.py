@@ -14,6 +14,12 @@ from plotyard.fixed_values import (
 )
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """Round half-even in binary floating point, as array libraries do."""
+    factor = float(10**digits)
+    return F.rint(value * F.lit(factor)) / F.lit(factor)
+
+
 def price_per_m2(price: Column, area: Column) -> Column:
     """NULL unless the area is positive."""
     return F.when(area > 0, F.try_divide(price, area))

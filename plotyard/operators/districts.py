@@ -39,7 +39,7 @@ def district_stats(
     return stats.select(
         *DISTRICT,
         "listing_count",
-        *[F.bround(F.col(c), 1).alias(c) for c in floats],
+        *[pricing.half_even(F.col(c), 1).alias(c) for c in floats],
         (F.col("listing_count") >= minimum).alias("sufficient"),
     )
 

@@ -107,7 +107,7 @@ def merge_furnished(df: DataFrame) -> DataFrame:
 
 
 def with_unit_price(df: DataFrame) -> DataFrame:
-    unit = F.bround(pricing.price_per_m2(F.col("price"), F.col("area")), 2)
+    unit = pricing.half_even(pricing.price_per_m2(F.col("price"), F.col("area")), 2)
     return df.withColumn("price_per_m2", unit)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotyard.functions.pricing import half_even
 from plotyard.operators.quantiles import grouped_quantiles
 
 
@@ -31,7 +32,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
     typed = one.select("*", *[F.lit(kinds[c]).alias(f"dtype{i}") for i, c in enumerate(names)])
     share = [
-        F.bround(100 - F.col(f"non_null{i}") / F.col("rows") * 100, 1).alias(f"null_pct{i}")
+        half_even(100 - F.try_divide(F.col(f"non_null{i}"), F.col("rows")) * 100, 1).alias(f"null_pct{i}")
         for i in range(len(names))
     ]
     nulls = [(F.col("rows") - F.col(f"non_null{i}")).alias(f"nulls{i}") for i in range(len(names))]
@@ -66,7 +67,7 @@ def rates(df: DataFrame, flags: Sequence[str] | dict[str, Column]) -> DataFrame:
     names = list(columns)
     one = df.agg(
         *[
-            F.round(F.avg(c.cast("double")) * 100, 2).alias(f"rate_pct{i}")
+            half_even(F.avg(c.cast("double")) * 100, 2).alias(f"rate_pct{i}")
             for i, c in enumerate(columns.values())
         ]
     )

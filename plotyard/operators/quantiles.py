@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_GROUP_ROWS = 2_000_000
+LISTED_GROUP_ROWS = 100_000
 _LOG_STEPS = 2048
 _SUB_STEPS = 65_536
 
@@ -42,13 +43,25 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, Rank]
+    df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, Rank],
+    listed_rows: int | None = None,
 ) -> DataFrame:
     """Values at 0-based ranks per group, one column per rank; ``ranks`` maps a name to a
-    function of the group's row count. NULL and NaN values are not ranked."""
+    function of the group's row count. NULL and NaN values are not ranked. Groups of at most
+    ``listed_rows`` rows (checked) are sorted as lists; beyond that the bucket way runs."""
     keys = list(keys)
     if not ranks:
         raise ValueError("order_statistics needs at least one rank")
+    limit = LISTED_GROUP_ROWS if listed_rows is None else listed_rows
+    if largest_group(df, keys) <= limit:
+        listed = df.groupBy(*keys).agg(
+            F.array_sort(F.collect_list(clean_numeric(value))).alias("__v")
+        ).filter(F.size("__v") > 0)
+        n = F.size("__v").cast("long")
+        return listed.select(
+            *keys, n.alias("n_values"),
+            *[F.element_at("__v", fn(n).cast("int") + 1).alias(name) for name, fn in ranks.items()],
+        )
     tag = [f"__k{i}" for i in range(len(keys))]
     counted = (
         df.select(*[F.col(k).alias(t) for k, t in zip(keys, tag)], clean_numeric(value).alias("v"))
@@ -164,7 +177,7 @@ def _large_quantiles(
     for name, p in probs.items():
         ranks[f"{name}__lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(float(p)))
         ranks[f"{name}__hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(float(p)))
-    stats = order_statistics(df, keys, value, ranks)
+    stats = order_statistics(df, keys, value, ranks, listed_rows=0)
     out = [F.col(k) for k in keys]
     for name, p in probs.items():
         position = (F.col("n_values") - 1) * F.lit(float(p))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plotyard import fixed_values as fv
 from plotyard.functions.predicates import finite
 from plotyard.operators.joins import null_safe_join
-from plotyard.session import BROADCAST_MAX_ROWS
+from plotyard.session import BROADCAST_MAX_ROWS, cut_lineage
 
 CRITERIA = (
     "purpose", "estate_type", "price_min", "price_max", "area_min", "area_max", "min_beds",
@@ -102,27 +102,25 @@ def _search_keys(distinct: DataFrame) -> DataFrame:
 def _listing_keys(listings: DataFrame, shapes: list[str]) -> DataFrame:
     """One row per (listing, shape in use); a listing without the value a shape needs has no key."""
 
-    def part(bit: str, value: Column, absent: Column) -> Column:
-        return value if bit == "1" else absent
+    def part(bit: int, value: Column, absent: str | int) -> Column:
+        return F.when(F.substring("k_shape", bit, 1) == "1", value).otherwise(F.lit(absent))
 
     def cell(name: str) -> Column:
         return F.floor(F.col(name) * _CELLS_PER_DEGREE).cast("int")
 
-    blank, zero = F.lit(""), F.lit(0)
-    entries = [
-        F.struct(
-            F.lit(s).alias("k_shape"),
-            part(s[0], F.col("estate_benefit"), blank).alias("k_purpose"),
-            part(s[1], F.col("estate_type"), blank).alias("k_type"),
-            part(s[2], F.col("city"), blank).alias("k_city"),
-            part(s[3], F.col("district"), blank).alias("k_district"),
-            part(s[4], cell("lat"), zero).alias("k_gy"),
-            part(s[4], cell("lng"), zero).alias("k_gx"),
-            part(s[5], _bin(F.col("price")), zero).alias("k_bin"),
-        )
-        for s in shapes
-    ]
-    return listings.withColumn("__k", F.explode(F.array(*entries))).select("*", "__k.*").drop("__k")
+    placed = listings.withColumns({"__gy": cell("lat"), "__gx": cell("lng"), "__bin": _bin(F.col("price"))})
+    shaped = placed.withColumn("k_shape", F.explode(F.array(*[F.lit(s) for s in shapes])))
+    return shaped.withColumns(
+        {
+            "k_purpose": part(1, F.col("estate_benefit"), ""),
+            "k_type": part(2, F.col("estate_type"), ""),
+            "k_city": part(3, F.col("city"), ""),
+            "k_district": part(4, F.col("district"), ""),
+            "k_gy": part(5, F.col("__gy"), 0),
+            "k_gx": part(5, F.col("__gx"), 0),
+            "k_bin": part(6, F.col("__bin"), 0),
+        }
+    ).drop("__gy", "__gx", "__bin")
 
 
 def _exact() -> Column:
@@ -153,21 +151,21 @@ def match(listings: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFram
     wanted = canonical(searches)
     reps = wanted.groupBy(*CRITERIA).agg(F.min("search_id").alias("rep"))
     members = null_safe_join(wanted, reps, CRITERIA).select("search_id", "rep")
-    keyed = _search_keys(reps)
+    keyed = cut_lineage(_search_keys(reps))
+    # a shape is six yes/no marks, so at most 64 of them reach the driver
     shapes = sorted(r[0] for r in keyed.select("k_shape").distinct().collect())
     offered = _listing_keys(
         listings.select(
-            "id", "lat", "lng", "price", "area", "beds", "estate_benefit",
-            F.col("estate_type").alias("l_type"), F.col("city").alias("l_city"),
-            F.col("district").alias("l_district"), "last_update",
-        ).withColumnsRenamed({"l_type": "estate_type", "l_city": "city", "l_district": "district"}),
+            "id", "lat", "lng", "price", "area", "beds", "estate_benefit", "estate_type", "city",
+            "district", "last_update",
+        ),
         shapes,
     ).drop("estate_type", "city", "district", "estate_benefit")
     criteria = keyed.select(
         "rep", *_KEYS, *[c for c in CRITERIA if c not in ("purpose", "estate_type", "city", "district")]
     )
     keys = list(_KEYS)
-    if criteria.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS:
+    if keyed.count() <= BROADCAST_MAX_ROWS:
         criteria = F.broadcast(criteria)
     else:
         # a key many listings share is spread over salts, its searches repeated per salt

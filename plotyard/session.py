@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     depend on the executors that produced it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path next to the checkpoints, for tables that live as long as one job."""
+    return f"{checkpoint_dir(spark)}/plotyard-{uuid.uuid4().hex}/{name}"
