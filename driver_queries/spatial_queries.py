@@ -9,6 +9,7 @@ from driver_queries.registry import MERC_X, MERC_Y, WITH_L, WITH_LE, query
 from plotyard import fixed_values as fv
 from plotyard.functions import geo
 from plotyard.operators import districts, outlines, spatial
+from plotyard.operators.joins import null_safe_join
 from plotyard.plans import marts
 
 CLIP = "lat BETWEEN 16e0 AND 33e0 AND lng BETWEEN 34e0 AND 56e0"
@@ -148,15 +149,17 @@ def _(spark, sf):
 @query(
     "D2_district_distances",
     f"{_WIDE_SQL} SELECT city, district, count(*) AS listing_count, "
-    + ", ".join(f"round(avg(dist_{c}_m), 2) AS mean_dist_{c}_m" for c in fv.POI_CATEGORY_NAMES)
+    + ", ".join(f"round(sum(dist_{c}_m), 1) AS sum_dist_{c}_m" for c in fv.POI_CATEGORY_NAMES)
     + ", count(*) >= 10 AS sufficient FROM l JOIN w USING (id) GROUP BY 1, 2",
 )
 def _(spark, sf):
     listings = T.listings(spark, sf)
     joined = listings.join(spatial.enrich_listings(listings, _index(spark, sf)), "id")
-    means = [F.round(F.avg(f"dist_{c}_m"), 2).alias(f"mean_dist_{c}_m") for c in fv.POI_CATEGORY_NAMES]
-    stats = joined.groupBy("city", "district").agg(F.count("id").alias("listing_count"), *means)
-    return stats.withColumn("sufficient", F.col("listing_count") >= fv.MIN_LISTINGS_DISTRICT)
+    stats = districts.district_stats(joined)
+    # means carry one decimal; sums (exact to a decimal) are what two engines can agree on
+    sums = [F.round(F.sum(f"dist_{c}_m"), 1).alias(f"sum_dist_{c}_m") for c in fv.POI_CATEGORY_NAMES]
+    totals = joined.groupBy("city", "district").agg(*sums)
+    return null_safe_join(stats.select("city", "district", "listing_count", "sufficient"), totals, ["city", "district"])
 
 
 @query(
@@ -209,7 +212,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rings = outlines.district_outlines(T.listings(spark, sf), ratio=1.0, tolerance=0.0, max_km2=float("inf"))
-    part = {n: F.transform("ring", lambda p, n=n: p[n]) for n in ("lng", "lat")}
+    part = {"lng": F.col("ring.lng"), "lat": F.col("ring.lat")}
     return rings.select(
         "city", "district", F.array_min(part["lng"]).alias("west"), F.array_max(part["lng"]).alias("east"),
         F.array_min(part["lat"]).alias("south"), F.array_max(part["lat"]).alias("north"),

@@ -27,6 +27,7 @@ from plotyard.functions import geo
 from plotyard.session import BROADCAST_MAX_ROWS, cut_lineage
 
 LEAF_ROWS = 32
+START_BOXES = 256  # boxes per category a walk starts from
 _TOP_BITS = 22  # level 0 cells are 2**22 m wide; each level divides the width by 4
 _LEVELS = 11
 _QUERY_LEVEL = 5  # query cells of 4,096 m share the coarse part of the walk
@@ -47,16 +48,18 @@ def category_features(features: DataFrame, worship: DataFrame) -> DataFrame:
     Both inputs carry ``fclass, kind, rings`` (and ``feature_id``); rows with missing or empty
     geometry are dropped.
     """
-    parts = []
-    for name, classes, worship_classes in POI_CATEGORIES:
-        for layer, wanted in ((features, classes), (worship, worship_classes)):
-            if wanted:
-                parts.append(
-                    layer.filter(F.col("fclass").isin(*wanted)).withColumn("category", F.lit(name))
-                )
-    selected = parts[0]
-    for part in parts[1:]:
-        selected = selected.unionByName(part)
+    def labelled(layer: DataFrame, position: int) -> DataFrame:
+        matches = [
+            F.when(F.col("fclass").isin(*row[position]), F.lit(row[0]))
+            for row in POI_CATEGORIES
+            if row[position]
+        ]
+        wanted = sorted({c for row in POI_CATEGORIES for c in row[position]})
+        return layer.filter(F.col("fclass").isin(*wanted)).withColumn(
+            "category", F.explode(F.array_compact(F.array(*matches)))
+        )
+
+    selected = labelled(features, 1).unionByName(labelled(worship, 2), allowMissingColumns=True)
     usable = F.col("rings").isNotNull() & (F.size(F.flatten("rings")) > 0)
     return selected.filter(usable).select("feature_id", "category", "kind", "rings")
 
@@ -94,6 +97,7 @@ class FeatureIndex:
     nodes: DataFrame
     leaf_objects: DataFrame
     categories: tuple[str, ...]
+    start_level: int
     deepest_internal: int
     small: bool
 
@@ -107,8 +111,8 @@ def build_index(
     leaf_rows: int = LEAF_ROWS,
 ) -> FeatureIndex:
     """Pyramid over metric objects. Identical geometries become one row with a weight."""
-    unique = objects.groupBy("category", *_BOX, "edges", "is_area").agg(
-        F.count(F.lit(1)).alias("weight")
+    unique = cut_lineage(
+        objects.groupBy("category", *_BOX, "edges", "is_area").agg(F.count(F.lit(1)).alias("weight"))
     )
     levels = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))
     size = F.pow(F.lit(2.0), F.lit(_TOP_BITS) - 2 * F.col("level"))
@@ -139,24 +143,47 @@ def build_index(
             "category", "level", "cx", "cy", *_BOX, "edges", "is_area", "weight"
         )
     )
-    facts = nodes.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.when(F.col("internal"), F.col("level"))).alias("deepest"),
-        F.sum(F.when(~F.col("internal"), F.col("rows"))).alias("objects"),
-        F.collect_set("category").alias("found"),
-    ).first()
-    missing = [c for c in categories if c not in facts["found"]]
+    # one row per category and level: at most _LEVELS rows per category
+    facts = (
+        nodes.groupBy("category", "level")
+        .agg(
+            F.count(F.lit(1)).alias("boxes"),
+            F.count_if("internal").alias("internal"),
+            F.sum(F.when(~F.col("internal"), F.col("rows")).otherwise(0)).alias("objects"),
+        )
+        .collect()
+    )
+    missing = [c for c in categories if c not in {r["category"] for r in facts}]
     if missing:
         raise ValueError(f"no features for categories: {', '.join(missing)}")
+    internal = [r["level"] for r in facts if r["internal"]]
     return FeatureIndex(
         nodes=nodes,
         leaf_objects=leaf_objects,
         categories=tuple(categories),
-        deepest_internal=-1 if facts["deepest"] is None else facts["deepest"],
-        small=facts["n"] + facts["objects"] <= BROADCAST_MAX_ROWS,
+        start_level=_start_level(facts),
+        deepest_internal=max(internal, default=-1),
+        small=sum(r["boxes"] + r["objects"] for r in facts) <= BROADCAST_MAX_ROWS,
     )
 
 
+def _start_level(facts) -> int:
+    """Deepest level at which no category needs more than START_BOXES boxes to be covered."""
+    best = 0
+    for level in range(1, _LEVELS):
+        boxes: dict[str, int] = {}
+        for r in facts:
+            if r["level"] <= level:
+                whole = r["level"] == level
+                boxes[r["category"]] = boxes.get(r["category"], 0) + (
+                    r["boxes"] if whole else r["boxes"] - r["internal"]
+                )
+        if max(boxes.values()) > START_BOXES:
+            break
+        best = level
+    return best
+
+
 # --- walking down --------------------------------------------------------------------------
 
 _NODE_FIELDS = ("level", "cx", "cy", "internal", *_BOX, "cnt")
@@ -244,29 +271,49 @@ def _step(
     return tightened.select(*carried, front.alias("front"))
 
 
-def _start(queries: DataFrame, index: FeatureIndex, ids: list[str], radii) -> DataFrame:
-    roots = (
-        index.nodes.filter("level = 0")
-        .groupBy("category")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    *[F.col(f) for f in _NODE_FIELDS], F.lit(float("inf")).alias("done")
-                )
-            ).alias("front")
-        )
+def _start(queries: DataFrame, index: FeatureIndex, ids: list[str], radii: Sequence[int]) -> DataFrame:
+    """Measure the boxes the walk starts from: one pass for bound and counts, one to keep what
+    matters. The boxes are at most START_BOXES per category, so they travel as one small array."""
+    roots = index.nodes.filter(
+        (F.col("level") == index.start_level)
+        | ((F.col("level") < index.start_level) & ~F.col("internal"))
     )
+    roots = roots.groupBy("category").agg(
+        F.collect_list(F.struct(*[F.col(f) for f in _NODE_FIELDS])).alias("boxes")
+    )
+    keys = [*ids, *[f"q{b}" for b in _BOX], "category"]
+    counts = [f"n{r}" for r in radii]
     each = queries.withColumn(
         "category", F.explode(F.array(*[F.lit(c) for c in index.categories]))
     )
-    return each.join(F.broadcast(roots), "category").select(
-        *ids,
-        *[f"q{b}" for b in _BOX],
-        "category",
-        F.lit(float("inf")).alias("bound"),
-        *[F.lit(0).cast("long").alias(f"n{r}") for r in radii],
-        "front",
+    reach = _reach(F.col("e"))
+    measured = (
+        each.join(F.broadcast(roots), "category")
+        .select(*keys, F.explode("boxes").alias("e"))
+        .groupBy(*keys)
+        .agg(
+            F.min(reach).alias("bound"),
+            *[F.sum(F.when(reach <= float(r), F.col("e.cnt")).otherwise(0)).alias(f"n{r}") for r in radii],
+        )
     )
+    # a cheap test first: it is evaluated for every box, the exact one only for what it leaves
+    gap = _gap(F.col("e"))
+    near = (
+        measured.join(F.broadcast(roots), "category")
+        .select(*keys, "bound", *counts, F.explode("boxes").alias("e"))
+        .filter(gap <= _search_limit(radii))
+        .select(*keys, "bound", *counts, "e", gap.alias("gap"), reach.alias("reach"))
+    )
+    done = _smallest_radius(F.col("reach"), radii)
+    kept = F.struct(*[F.col(f"e.{f}").alias(f) for f in _NODE_FIELDS], done.alias("done"))
+    return near.groupBy(*keys, "bound", *counts).agg(
+        F.collect_list(F.when(_needed(F.col("gap"), F.col("bound"), done, radii), kept)).alias("front")
+    )
+
+
+def _search_limit(radii: Sequence[int]) -> Column:
+    """Nothing further than this can matter: neither nearest nor within a radius."""
+    return F.greatest(F.col("bound"), F.lit(float(max(radii)))) * _SLACK
 
 
 def _located(points: DataFrame, index: FeatureIndex, radii: Sequence[int]) -> DataFrame:
@@ -278,21 +325,24 @@ def _located(points: DataFrame, index: FeatureIndex, radii: Sequence[int]) -> Da
     cells = placed.groupBy("qcx", "qcy").agg(
         F.min("x").alias("qx0"), F.min("y").alias("qy0"), F.max("x").alias("qx1"), F.max("y").alias("qy1")
     )
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(parts, "qcx", "qcy")
     state = _start(cells, index, ["qcx", "qcy"], radii)
     coarse = F.col("e.internal") & (F.col("e.level") < _QUERY_LEVEL)
-    # the first pass also counts the root boxes themselves
-    for _ in range(min(index.deepest_internal + 1, _QUERY_LEVEL) or 1):
+    for _ in range(max(0, min(index.deepest_internal + 1, _QUERY_LEVEL) - index.start_level)):
         state = _step(state, index, ["qcx", "qcy"], radii, coarse)
     state = cut_lineage(state)
     rows = state.limit(BROADCAST_MAX_ROWS // 4 + 1).count()
     shared = state.drop(*[f"q{b}" for b in _BOX])
     shared = F.broadcast(shared) if rows <= BROADCAST_MAX_ROWS // 4 else shared
+    # spread by id before the heavy part; the final aggregation by id then needs no other shuffle
     fine = (
-        placed.join(shared, ["qcx", "qcy"])
+        placed.repartition(parts, "id")
+        .join(shared, ["qcx", "qcy"])
         .withColumns({"qx0": F.col("x"), "qy0": F.col("y"), "qx1": F.col("x"), "qy1": F.col("y")})
         .drop("qcx", "qcy", "x", "y")
     )
-    for _ in range(max(0, index.deepest_internal + 1 - _QUERY_LEVEL)):
+    for _ in range(max(0, index.deepest_internal + 1 - max(_QUERY_LEVEL, index.start_level))):
         fine = _step(fine, index, ["id"], radii, F.col("e.internal"))
     return fine
 
@@ -300,23 +350,20 @@ def _located(points: DataFrame, index: FeatureIndex, radii: Sequence[int]) -> Da
 def _object_rows(points: DataFrame, index: FeatureIndex, radii: Sequence[int]) -> DataFrame:
     """(id, category, distance, weight, done, counts so far) for every feature still in question."""
     located = _located(points, index, radii)
-    nearest_box = F.array_min(F.transform("front", _reach))
-    bound = F.least(F.col("bound"), F.coalesce(nearest_box, F.col("bound")))
-    near = F.filter("front", lambda e: _needed(_gap(e), F.col("limit"), e["done"], radii))
     counts = [f"n{r}" for r in radii]
-    rows = (
-        located.withColumn("limit", bound)
-        .withColumn("e", F.explode(near))
-        .select(
-            "id", "category", "qx0", "qy0", "qx1", "qy1", *counts,
-            F.col("e.level").alias("level"), F.col("e.cx").alias("cx"), F.col("e.cy").alias("cy"),
-            F.col("e.done").alias("done"),
-        )
-        .join(index.offered(index.leaf_objects), ["category", "level", "cx", "cy"])
-    )
+    exploded = located.select(
+        "id", "category", *[f"q{b}" for b in _BOX], "bound", *counts, F.explode("front").alias("e")
+    ).filter(_gap(F.col("e")) <= _search_limit(radii))
+    rows = exploded.select(
+        "id", "category", "qx0", "qy0", "bound", *counts,
+        F.col("e.level").alias("level"), F.col("e.cx").alias("cx"), F.col("e.cy").alias("cy"),
+        F.col("e.done").alias("done"),
+    ).join(index.offered(index.leaf_objects), ["category", "level", "cx", "cy"])
     px, py = F.col("qx0"), F.col("qy0")
     flat = geo.box_gap(px, py, px, py, *[F.col(b) for b in _BOX])
-    distance = F.when(F.col("edges").isNull(), flat).otherwise(
+    # beyond the bound and every radius the box distance says enough: it is never the nearest
+    relevant = flat <= _search_limit(radii)
+    distance = F.when(F.col("edges").isNull() | ~relevant, flat).otherwise(
         geo.edges_distance(px, py, F.col("edges"), F.col("is_area"))
     )
     return rows.select("id", "category", *counts, "done", "weight", distance.alias("d"))
