@@ -1 +1,233 @@
-"""placeholder"""
+"""Price models and their accuracy. Metrics are checked in SQL on a given prediction table; the
+fitted models are checked by rows only, as another engine's trees differ."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driver_queries import tables as T
+from driver_queries.registry import WITH_LE, query
+from plotyard.functions import pricing
+from plotyard.operators import metrics, models, sampling
+from plotyard.session import scratch_path
+from plotyard.sources import io
+
+# Small ensembles keep the rows-only checks short; production defaults are in operators.models.
+QUICK = {"maxIter": 3, "maxDepth": 4, "stepSize": 0.3}
+
+
+def _rows(spark, sf):
+    listings = T.listings(spark, sf)
+    flags = {f"{f}_na": F.col(f).isNull() for f in ("beds", "livings", "wc", "furnished", "street_width")}
+    filled = listings.withColumns(flags).fillna(
+        {"beds": 0, "livings": 0, "wc": 0, "furnished": 0, "street_width": 0.0}
+    )
+    return models.modelling_rows(filled.fillna({"district": "none"}))
+
+
+def _given(spark, sf):
+    """Sale listings with the stand-in estimate as their prediction."""
+    joined = T.listings(spark, sf).join(T.estimates(spark, sf), "id")
+    market = pricing.market_for(F.col("estate_type"))
+    area = F.when(market == "land", F.col("area")).otherwise(1.0)
+    return joined.select(
+        "id", market.alias("market"), "price", F.col("estimate").alias("predicted"),
+        F.log1p(F.col("price") / area).alias("true_log"),
+        F.log1p(F.col("estimate") / area).alias("predicted_log"), area.alias("scale"),
+    )
+
+
+_GIVEN_SQL = (
+    f"{WITH_LE}, g AS MATERIALIZED (SELECT l.id, estimate_market AS market, price, estimate AS predicted, ln(1 + price / a) AS t, ln(1 + estimate / a) AS p, "
+    "price / a AS tu, estimate / a AS pu FROM (SELECT *, CASE WHEN estate_type = 'land' THEN CASE WHEN area > 0 THEN area END ELSE 1e0 END AS a "
+    "FROM l) l JOIN e USING (id))"
+)
+_METRICS_SQL = (
+    "count(*) AS rows, round(1 - avg((p - t) ** 2) / var_pop(t), 6) AS R2_log, round(sqrt(avg((p - t) ** 2)), 6) AS RMSE_log, "
+    "round(1 - avg((pu - tu) ** 2) / var_pop(tu), 6) AS R2_unit, round(avg(abs(pu - tu)), 3) AS MAE_unit, "
+    "round(1 - avg((predicted - price) ** 2) / var_pop(price), 6) AS R2_total, round(avg(abs(predicted - price)), 2) AS MAE_total, "
+    "round(median(abs(pu - tu) / tu * 100), 5) AS MedAPE_pct"
+)
+
+
+@query("D21_regression_metrics", f"{_GIVEN_SQL} SELECT market, {_METRICS_SQL} FROM g GROUP BY 1")
+def _(spark, sf):
+    table = metrics.accuracy(_given(spark, sf), ["market"])
+    digits = {
+        "R2_log": 6, "RMSE_log": 6, "R2_unit": 6, "MAE_unit": 3, "R2_total": 6, "MAE_total": 2,
+        "MedAPE_pct": 5,
+    }
+    return table.select("market", "rows", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
+@query(
+    "D22_interval",
+    f"{_GIVEN_SQL} SELECT market, round(quantile_cont(price / predicted, 0.1), 8) AS low_q, round(quantile_cont(price / predicted, 0.9), 8) AS high_q "
+    "FROM g GROUP BY 1",
+)
+def _(spark, sf):
+    table = metrics.interval(_given(spark, sf))
+    return table.select("market", *[F.round(c, 8).alias(c) for c in ("low_q", "high_q")])
+
+
+@query(
+    "K6_interval_columns",
+    f"{_GIVEN_SQL}, i AS (SELECT market AS k, quantile_cont(price / predicted, 0.1) AS lo, quantile_cont(price / predicted, 0.9) AS hi FROM g GROUP BY 1) "
+    "SELECT id, round_even(predicted, 0) AS estimate, round_even(predicted * lo, 0) AS estimate_low, round_even(predicted * hi, 0) AS estimate_high, "
+    "market AS estimate_market FROM g JOIN i ON market = k",
+)
+def _(spark, sf):
+    given = _given(spark, sf)
+    return metrics.with_interval(given, metrics.interval(given))
+
+
+_BUCKET = "('0x' || substr(md5('42|' || CAST(id AS VARCHAR)), 1, 7))::BIGINT % 100"
+
+
+@query(
+    "D33_leaderboard",
+    f"{_GIVEN_SQL}, s AS (SELECT market, {_BUCKET} < 70 AS train, count(*) AS n, 1 - avg((p - t) ** 2) / var_pop(t) AS r FROM g GROUP BY 1, 2) "
+    "SELECT a.market AS target, 'gbt' AS model, round(a.r, 6) AS R2_log, b.n AS train_rows, round(b.r - a.r, 6) AS R2_gap, CASE a.market WHEN 'land' "
+    "THEN 'lands' ELSE 'buildings' END AS label FROM s a JOIN s b ON a.market = b.market AND NOT a.train AND b.train",
+)
+def _(spark, sf):
+    part = F.when(sampling.split_bucket() < 70, "train").otherwise("test")
+    given = _given(spark, sf).withColumns(
+        {"target": F.col("market"), "model": F.lit("gbt"), "split": part}
+    )
+    board = metrics.leaderboard(metrics.accuracy(given, ["target", "model", "split"]))
+    return board.select(
+        "target", "model", F.round("R2_log", 6).alias("R2_log"), "train_rows",
+        F.round("R2_gap", 6).alias("R2_gap"), "label",
+    )
+
+
+@query(
+    "D34_returns",
+    f"{_GIVEN_SQL}, s AS (SELECT market AS target, count(*) AS params, 1 - avg((p - t) ** 2) / var_pop(t) AS r FROM g GROUP BY 1) "
+    "SELECT target, params, round(r / 2, 4) AS R2_per_train_s, round(params / (r * 100), 1) AS params_per_R2_point FROM s",
+)
+def _(spark, sf):
+    scored = metrics.accuracy(_given(spark, sf), ["market"]).select(
+        F.col("market").alias("target"), F.lit("gbt").alias("model"), F.col("rows").alias("params"),
+        F.lit(2.0).alias("train_total_s"), "R2_log",
+    )
+    return metrics.returns(scored).select("target", "params", "R2_per_train_s", "params_per_R2_point")
+
+
+@query("D20_rank_correlations")
+def _(spark, sf):
+    board = T.listings(spark, sf).groupBy("city").agg(
+        F.count(F.lit(1)).alias("params"), F.avg("price").alias("mean_price"), F.avg("area").alias("mean_area")
+    )
+    return metrics.rank_correlations(board, ["mean_price", "mean_area"], ["params"])
+
+
+@query("K1_vocabulary", f"{WITH_LE} SELECT DISTINCT city, CAST(dense_rank() OVER (ORDER BY city) - 1 AS DOUBLE) AS code FROM l JOIN e USING (id)")
+def _(spark, sf):
+    rows = _rows(spark, sf)
+    encoders, _ = models.fit_encoders(rows)
+    return encoders.transform(rows).select("city", F.col("city_code").alias("code")).distinct()
+
+
+@query("K3_boosted_fit")
+def _(spark, sf):
+    rows = _rows(spark, sf)
+    fitted = models.fit(rows, "land", QUICK)
+    return models.predict(models.market_rows(rows, "land"), fitted).select("id", "predicted_log", "predicted")
+
+
+@query("K4_random_search")
+def _(spark, sf):
+    grid = {"maxIter": (2, 3), "maxDepth": (2, 3), "stepSize": (0.1, 0.3)}
+    _, scored = models.search(_rows(spark, sf), "land", grid, iterations=2, folds=2)
+    return spark.createDataFrame([(str(p), float(s)) for p, s in scored], "params string, rmse double")
+
+
+@query("K5_out_of_fold", f"{WITH_LE} SELECT id, market, price FROM (SELECT id, estimate_market AS market, price FROM l JOIN e USING (id)) WHERE market = 'land'")
+def _(spark, sf):
+    predictions = models.out_of_fold(_rows(spark, sf), "land", QUICK)
+    return predictions.filter(F.col("predicted").isNotNull()).select("id", "market", "price")
+
+
+@query("K7_score_described")
+def _(spark, sf):
+    rows = _rows(spark, sf)
+    _, fitted = models.value_market(rows, "land", QUICK, folds=2)
+    # the described properties are the land listings themselves, some in places nobody has seen
+    described = rows.filter("market = 'land'").select(
+        F.col("id").alias("request_id"), F.when(F.col("is_urgent") == 1, "nowhere").otherwise(F.col("city")).alias("city"),
+        "district", "estate_type", "area_m2", "street_width_m", "is_corner",
+        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"),
+    )
+    return models.score_described(described, [fitted])
+
+
+@query("A14_model_round_trip")
+def _(spark, sf):
+    from plotyard.plans.offline import load_fitted
+
+    rows, folder = _rows(spark, sf), scratch_path(spark, "model")
+    fitted = models.fit(rows, "land", QUICK)
+    io.save_model(fitted.model, fitted.metadata(), f"{folder}/models/land", spark)
+    return models.predict(models.market_rows(rows, "land"), load_fitted(spark, folder, "land")).select("id", "predicted")
+
+
+@query("K9_linear_baselines")
+def _(spark, sf):
+    train, test = sampling.train_test_split(models.market_rows(_rows(spark, sf), "land"))
+    train, test, _ = models.linear_frame(train, test, "land")
+    parts = []
+    for kind in ("linear", "ridge", "lasso"):
+        model, _ = models.fit_linear(train, kind, alphas=(0.001, 0.1), folds=2)
+        scored = model.transform(test).select("true_log", "predicted_log", F.col("area_m2").alias("scale"))
+        parts.append(
+            metrics.accuracy(scored).select(
+                F.lit(kind).alias("model"), F.lit(models.model_size(model)).alias("coefficients"), "rows", "R2_log"
+            )
+        )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("K8_standardised_train")
+def _(spark, sf):
+    train, test = sampling.train_test_split(models.market_rows(_rows(spark, sf), "land"))
+    scaled, _, kept = models.linear_frame(train, test, "land")
+    from pyspark.ml.functions import vector_to_array
+
+    values = scaled.select(vector_to_array("features").alias("v"))
+    ends = [F.round(F.avg(F.col("v")[i]), 6).alias(f"mean_{c}") for i, c in enumerate(kept)]
+    return values.agg(*ends)
+
+
+@query("K10_permutation_importance")
+def _(spark, sf):
+    rows = _rows(spark, sf)
+    fitted = models.fit(rows, "land", QUICK)
+    return models.permutation_importance(rows, fitted, repeats=2, features=["area_m2", "district"])
+
+
+@query("K11_model_size")
+def _(spark, sf):
+    fitted = models.fit(_rows(spark, sf), "land", QUICK)
+    leaves = models.model_size(fitted.model)
+    return spark.createDataFrame([(fitted.market, leaves, len(fitted.features))], "target string, leaves long, features long")
+
+
+@query("K12_market_comparison")
+def _(spark, sf):
+    return models.compare_markets(_rows(spark, sf), params=QUICK).select("target", "split", "rows", "R2_log", "MedAPE_pct")
+
+
+@query(
+    "K2_feature_rows",
+    f"{WITH_LE} SELECT estimate_market AS market, count(*) AS n, round(sum(ln(1 + CASE WHEN estimate_market = 'land' THEN price / CASE WHEN area > 0 THEN "
+    "area END ELSE price END)), 4) AS target FROM l JOIN e USING (id) GROUP BY 1",
+)
+def _(spark, sf):
+    rows = _rows(spark, sf)
+    for market in ("built", "land"):
+        models.assert_no_leakage(models.feature_names(rows.columns, market))
+    return rows.groupBy("market").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("true_log"), 4).alias("target")
+    )

@@ -20,6 +20,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotyard.operators.joins import null_safe_join
+
 HOT_GROUP_ROWS = 2_000_000
 LISTED_GROUP_ROWS = 100_000
 _LOG_STEPS = 2048
@@ -226,21 +228,21 @@ def _mixed_quantiles(df, keys, values, extra, limit) -> DataFrame:
     The set of hot groups is small by construction (each holds more than ``limit`` rows), but it
     is not assumed to fit anywhere: it is joined like any other table and AQE picks the join.
     """
-    keys_or_one = keys or ["__one"]
-    base = df if keys else df.withColumn("__one", F.lit(1))
-    counts = base.groupBy(*keys_or_one).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = counts.filter(F.col("__rows") > limit).select(*keys_or_one)
-    base_hot = _null_safe_semi(base, hot, keys_or_one, "left_semi")
-    base_cold = _null_safe_semi(base, hot, keys_or_one, "left_anti")
-    cold = _small_quantiles(base_cold, keys_or_one, values, extra)
+    if not keys:
+        whole = df.agg(*(list(extra) or [F.count(F.lit(1)).alias("__ignored")]))
+        for expression, probs in values.values():
+            part = _large_quantiles(df, [], expression, probs)
+            whole = whole.select("*", *[part.select(n).scalar().alias(n) for n in probs])
+        return whole.drop("__ignored")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = counts.filter(F.col("__rows") > limit).select(*keys)
+    hot_rows = _null_safe_semi(df, hot, keys, "left_semi")
+    cold = _small_quantiles(_null_safe_semi(df, hot, keys, "left_anti"), keys, values, extra)
     aggregates = list(extra) or [F.count(F.lit(1)).alias("__ignored")]
-    large = base_hot.groupBy(*keys_or_one).agg(*aggregates).drop("__ignored")
+    large = hot_rows.groupBy(*keys).agg(*aggregates).drop("__ignored")
     for expression, probs in values.values():
-        part = _large_quantiles(base_hot, keys_or_one, expression, probs)
-        renamed = part.withColumnsRenamed({k: f"__r_{k}" for k in keys_or_one})
-        on = [large[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys_or_one]
-        large = large.join(renamed, on, "left").drop(*[f"__r_{k}" for k in keys_or_one])
-    return cold.unionByName(large).drop("__one")
+        large = null_safe_join(large, _large_quantiles(hot_rows, keys, expression, probs), keys, "left")
+    return cold.unionByName(large)
 
 
 def _null_safe_semi(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
