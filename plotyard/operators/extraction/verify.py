@@ -19,6 +19,7 @@ from plotyard.operators.extraction.fields import (
     in_range,
     value_type,
 )
+from plotyard.session import spread
 
 
 def verify(candidates: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -32,7 +33,7 @@ def verify(candidates: DataFrame, fuzzy: bool = True) -> DataFrame:
         F.coalesce(F.col("failed"), F.lit(False)) if "failed" in candidates.columns else F.lit(False)
     )
     spans = F.transform("evidence", collapse_whitespace)
-    checked = candidates.withColumns(
+    checked = spread(candidates, "id").withColumns(
         {"__hay": collapse_whitespace(F.col("clean")), "__spans": spans}
     ).withColumns(
         {

@@ -83,7 +83,10 @@ def district_outlines(
         )
 
     eligible = reduced_points(listings).filter(F.col("points") >= minimum)
-    hulls = eligible.groupBy("city", "district").applyInPandas(outline, _SCHEMA)
+    # hulls cost far more than their bytes suggest, so small partitions are not to be merged
+    parts = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = eligible.repartition(parts, "city", "district").groupBy("city", "district")
+    hulls = grouped.applyInPandas(outline, _SCHEMA)
     area = geo.ring_area(geo.project_ring(F.col("ring"))) / 1e6
     return hulls.withColumn("area_km2", area).filter(F.col("area_km2") <= max_km2)
 
@@ -92,26 +95,41 @@ def district_outlines(
 
 
 def _triangulate(points: np.ndarray) -> np.ndarray:
-    """Delaunay triangles by incremental insertion; circumcircle tests are vectorised."""
+    """Delaunay triangles by incremental insertion. The circumcircle test of a new point runs over
+    all triangles at once; the cavity it opens is small and is refilled in place."""
     n = len(points)
     span = float(np.ptp(points, axis=0).max()) or 1.0
     mid = points.mean(axis=0)
     outer = mid + span * 1e3 * np.array([[-1.0, -1.0], [1.0, -1.0], [0.0, 1.5]])
     pts = np.vstack([points, outer])
-    tris = np.array([[n, n + 1, n + 2]])
-    circles = _circumcircles(pts, tris)
+    tris = np.tile(np.array([n, n + 1, n + 2]), (4 * n + 8, 1))
+    circles = np.full((len(tris), 3), -1.0)  # a negative radius never contains a point
+    circles[:1] = _circumcircles(pts, tris[:1])
+    used = 1
     for i in range(n):
-        offset = circles[:, :2] - pts[i]
-        bad = (offset**2).sum(axis=1) < circles[:, 2] * (1 + 1e-12)
-        hit = tris[bad]
-        edges = np.vstack([hit[:, [0, 1]], hit[:, [1, 2]], hit[:, [2, 0]]])
-        ordered = np.sort(edges, axis=1)
-        _, where, count = np.unique(ordered, axis=0, return_index=True, return_counts=True)
-        rim = edges[where[count == 1]]
-        fresh = np.column_stack([rim, np.full(len(rim), i)])
-        tris = np.vstack([tris[~bad], fresh])
-        circles = np.vstack([circles[~bad], _circumcircles(pts, fresh)])
-    return tris[(tris < n).all(axis=1)]
+        dx = circles[:used, 0] - pts[i, 0]
+        dy = circles[:used, 1] - pts[i, 1]
+        bad = np.flatnonzero(dx * dx + dy * dy < circles[:used, 2] * (1 + 1e-12))
+        rim: dict[tuple[int, int], None] = {}
+        for x, y, z in tris[bad].tolist():
+            for u, v in ((x, y), (y, z), (z, x)):
+                key = (u, v) if u < v else (v, u)
+                if key in rim:
+                    del rim[key]
+                else:
+                    rim[key] = None
+        fresh = np.array([(u, v, i) for u, v in rim])
+        grown = max(0, len(fresh) - len(bad))
+        if used + grown > len(tris):
+            tris = np.vstack([tris, np.tile([n, n + 1, n + 2], (grown + n, 1))])
+            circles = np.vstack([circles, np.full((grown + n, 3), -1.0)])
+        slots = np.concatenate([bad, np.arange(used, used + grown)])[: len(fresh)]
+        circles[bad] = -1.0
+        tris[bad] = (n, n + 1, n + 2)
+        tris[slots] = fresh
+        circles[slots] = _circumcircles(pts, fresh)
+        used += grown
+    return tris[:used][(tris[:used] < n).all(axis=1)]
 
 
 def _circumcircles(pts: np.ndarray, tris: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plotyard import fixed_values as fv
 from plotyard.functions.predicates import finite
 from plotyard.operators.joins import null_safe_join
-from plotyard.session import BROADCAST_MAX_ROWS, cut_lineage
+from plotyard.session import BROADCAST_MAX_ROWS, cut_lineage, spread
 
 CRITERIA = (
     "purpose", "estate_type", "price_min", "price_max", "area_min", "area_max", "min_beds",
@@ -155,7 +155,7 @@ def match(listings: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFram
     # a shape is six yes/no marks, so at most 64 of them reach the driver
     shapes = sorted(r[0] for r in keyed.select("k_shape").distinct().collect())
     offered = _listing_keys(
-        listings.select(
+        spread(listings, "id").select(
             "id", "lat", "lng", "price", "area", "beds", "estate_benefit", "estate_type", "city",
             "district", "last_update",
         ),

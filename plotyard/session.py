@@ -55,3 +55,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path next to the checkpoints, for tables that live as long as one job."""
     return f"{checkpoint_dir(spark)}/plotyard-{uuid.uuid4().hex}/{name}"
+
+
+SPREAD_BYTES_PER_TASK = 32 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files and tables behind ``df`` by the optimizer's statistics; runs nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows by ``keys`` before CPU-heavy work, but only where the input is too small
+    to give every core a split of its own; a large input is already spread by its splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if input_bytes(df) >= cores * SPREAD_BYTES_PER_TASK:
+        return df
+    return df.repartition(cores, *keys)
