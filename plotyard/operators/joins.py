@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from plotyard.session import BROADCAST_MAX_ROWS
 
 
 def null_safe_join(
@@ -19,13 +16,6 @@ def null_safe_join(
     return left.join(renamed, on, how).drop(*[f"__j_{k}" for k in keys])
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Offer ``df`` as a broadcast only when it has at most ``max_rows`` rows; beyond that the
-    join is left to shuffle. The check stops reading after ``max_rows`` + 1 rows."""
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
-
-
 def pending(queue: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Rows of the queue whose key is not among the finished ones."""
     return queue.join(done.select(key).distinct(), key, "left_anti")

@@ -81,14 +81,6 @@ def to_objects(features: DataFrame) -> DataFrame:
     )
 
 
-def require_categories(features: DataFrame, categories: Sequence[str] = POI_CATEGORY_NAMES) -> None:
-    """An empty category would report every listing as infinitely far from it."""
-    found = {r[0] for r in features.select("category").distinct().limit(1000).collect()}
-    missing = [c for c in categories if c not in found]
-    if missing:
-        raise ValueError(f"no features for categories: {', '.join(missing)}")
-
-
 # --- pyramid -------------------------------------------------------------------------------
 
 

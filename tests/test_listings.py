@@ -218,3 +218,9 @@ def test_shuffled_column_is_a_permutation(listings):
 def test_target_must_not_be_a_feature():
     with pytest.raises(ValueError, match="price"):
         models.assert_no_leakage(("area_m2", "price"))
+
+
+def test_dotted_scrape_columns_are_dropped_by_exact_name(spark):
+    df = spark.createDataFrame([(1, 24.0, 46.0, "x", 5)], "id long, `location.lat` double, `location.lng` double, `user.img` string, uri int")
+    clean = prepare.flatten_names(prepare.drop_columns(df))
+    assert clean.columns == ["id", "lat", "lng"]
