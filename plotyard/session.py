@@ -33,16 +33,23 @@ def local_session(app: str = "plotyard", cpus: int | None = None, **conf: str) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a fresh local one only where none is set."""
-    current = spark.sparkContext.getCheckpointDir()
+    """The shared folder of the session for intermediate data: the checkpoint folder already set,
+    else ``spark.checkpoint.dir``, else a fresh local folder, which only a local master may use."""
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
-    folder = shared or tempfile.mkdtemp(prefix="plotyard-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not shared:
+        if not context.master.startswith("local["):
+            raise ValueError(
+                "set spark.checkpoint.dir to a folder that the driver and all executors share"
+            )
+        shared = tempfile.mkdtemp(prefix="plotyard-checkpoint-")
+    context.setCheckpointDir(shared)
+    return context.getCheckpointDir() or shared
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -57,6 +64,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/plotyard-{uuid.uuid4().hex}/{name}"
 
 
+def hand_over(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder and return a reader of it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove intermediate data under the shared folder; other paths are refused."""
+    root = checkpoint_dir(spark)
+    if not path.startswith(f"{root}/plotyard-"):
+        raise ValueError(f"not an intermediate path: {path}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 SPREAD_BYTES_PER_TASK = 32 << 20
 
 
