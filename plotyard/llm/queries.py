@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plotyard.llm.decontaminate import contamination
 from plotyard.llm.packing import pack_documents
+from plotyard.llm.personal_data import BASE_KINDS, as_text, find_personal_data
 from plotyard.llm.tokenstore import read_store, write_store
 from plotyard.session import scratch_path
 
@@ -55,3 +56,15 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op8_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in BASE_KINDS),
+        F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
+        as_text(F.concat("base", "added")).alias("spans"),
+    )
