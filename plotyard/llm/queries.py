@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plotyard.llm.decontaminate import contamination
 from plotyard.llm.packing import pack_documents
 from plotyard.llm.personal_data import BASE_KINDS, as_text, find_personal_data
+from plotyard.llm.quality_rules import judge
 from plotyard.llm.tokenstore import read_store, write_store
 from plotyard.session import scratch_path
 
@@ -68,3 +69,11 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
         as_text(F.concat("base", "added")).alias("spans"),
     )
+
+
+@query("op7_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
