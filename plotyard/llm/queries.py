@@ -12,6 +12,7 @@ from plotyard.llm.packing import pack_documents
 from plotyard.llm.personal_data import BASE_KINDS, as_text, find_personal_data
 from plotyard.llm.quality_rules import judge
 from plotyard.llm.tokenstore import read_store, write_store
+from plotyard.llm.url_filter import filter_urls
 from plotyard.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +78,12 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op10_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
