@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plotyard.llm.decontaminate import contamination
 from plotyard.llm.packing import pack_documents
 from plotyard.llm.personal_data import BASE_KINDS, as_text, find_personal_data
+from plotyard.llm.quality_classifier import THRESHOLD, score_quality
 from plotyard.llm.quality_rules import judge
 from plotyard.llm.tokenstore import read_store, write_store
 from plotyard.llm.url_filter import filter_urls
@@ -87,3 +88,9 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(table(spark, sf_dir, "pages"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op6_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
