@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -67,10 +68,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def hand_over(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and return a reader of it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not whenever the driver's JVM
+    happens to collect; a long chain of written tables then needs the disk of its largest step only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Remove intermediate data under the shared folder; other paths are refused."""
     root = checkpoint_dir(spark)
