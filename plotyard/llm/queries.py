@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotyard.llm.decontaminate import contamination
+from plotyard.llm.line_dedup import duplicate_lines
 from plotyard.llm.packing import pack_documents
 from plotyard.llm.personal_data import BASE_KINDS, as_text, find_personal_data
 from plotyard.llm.quality_classifier import THRESHOLD, score_quality
@@ -94,3 +95,8 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+@query("op3_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(table(spark, sf_dir, "documents")).drop("doc_row")
