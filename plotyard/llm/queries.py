@@ -13,6 +13,7 @@ from plotyard.llm.packing import pack_documents
 from plotyard.llm.personal_data import BASE_KINDS, as_text, find_personal_data
 from plotyard.llm.quality_classifier import THRESHOLD, score_quality
 from plotyard.llm.quality_rules import judge
+from plotyard.llm.shingle_join import near_duplicates
 from plotyard.llm.tokenstore import read_store, write_store
 from plotyard.llm.url_filter import filter_urls
 from plotyard.session import scratch_path
@@ -100,3 +101,8 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_lines(table(spark, sf_dir, "documents")).drop("doc_row")
+
+
+@query("op5_ngram_join")
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
