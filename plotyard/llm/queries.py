@@ -14,6 +14,7 @@ from plotyard.llm.personal_data import BASE_KINDS, as_text, find_personal_data
 from plotyard.llm.quality_classifier import THRESHOLD, score_quality
 from plotyard.llm.quality_rules import judge
 from plotyard.llm.shingle_join import near_duplicates
+from plotyard.llm.substring_dedup import remove_repeats
 from plotyard.llm.tokenstore import read_store, write_store
 from plotyard.llm.url_filter import filter_urls
 from plotyard.session import scratch_path
@@ -106,3 +107,9 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_join")
 def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
