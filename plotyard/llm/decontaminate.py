@@ -25,6 +25,7 @@ from plotyard.llm.fmindex import FMIndex
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000  # words in a shard's index
+SHARD_BYTES = 32 << 20  # text of a shard's documents
 SLICE_BYTES = 4 << 20  # text of documents split into words at once
 QUERY_BLOCK_CHARS = 8 << 20
 
@@ -34,7 +35,7 @@ _WORD_BYTES = bytes(
 _END = b"\x01"  # stands between documents; never a word
 
 SPANS = "array<struct<start:int,end:int>>"
-FOUND = f"doc_id long, n_words long, spans {SPANS}, items array<long>, text string"
+FOUND = f"n_words long, spans {SPANS}, items array<long>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -68,7 +69,7 @@ class Shard:
         self.windows, self.n_words = windows, []
         self.pieces: list[np.ndarray] = [np.zeros(1, dtype=np.int32)]
         self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # document, first word, length
-        self.size = 1
+        self.size, self.bytes = 1, 0
 
     def add(self, texts: list[bytes]) -> None:
         words = (b" " + _END + b" ").join([t.translate(_WORD_BYTES) for t in texts]).split()
@@ -140,8 +141,8 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[i
     return starts[fresh].tolist(), reach[last].tolist()
 
 
-def _search(items: list[tuple[int | None, str | None]], window: int, last: bool):
-    """Task of one query block: columns doc_id, spans, items and text in; those of FOUND out."""
+def _search(items: list[tuple[int | None, str | None]], window: int):
+    """Task of one query block: columns row (a document), spans and items in; row and those of FOUND out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(items, window)
@@ -154,20 +155,20 @@ def _search(items: list[tuple[int | None, str | None]], window: int, last: bool)
             earlier = list(zip(rows["spans"].to_pylist(), rows["items"].to_pylist(), strict=True))
             spans, ids = shard.found(earlier)
             out = pa.RecordBatch.from_arrays(
-                [rows["doc_id"].combine_chunks(), pa.array(shard.n_words, pa.int64()), pa.array(spans, _SPAN_TYPE),
-                 pa.array(ids, pa.list_(pa.int64())), pa.nulls(len(ids), pa.string()) if last else rows["text"].combine_chunks()],
-                names=["doc_id", "n_words", "spans", "items", "text"],
-            )
+                [rows["row"].combine_chunks(), pa.array(shard.n_words, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(ids, pa.list_(pa.int64()))],
+                names=["row", "n_words", "spans", "items"],
+            )
             shard, kept = Shard(windows), []
             return out
 
         for batch in batches:
-            texts = batch.column(3).cast(pa.binary()).fill_null(b"")
+            texts = pa.compute.struct_field(batch.column("row"), "text").cast(pa.binary()).fill_null(b"")
             for low, high in slices(pa.compute.binary_length(texts).to_pylist(), SLICE_BYTES):
-                shard.add(texts.slice(low, high - low).to_pylist())
-                part = batch.slice(low, high - low)
-                kept.append(part.select(["doc_id", "spans", "items"]) if last else part)
-                if shard.size >= SHARD_WORDS or len(shard.n_words) >= SHARD_WORDS:
+                part = texts.slice(low, high - low)
+                shard.add(part.to_pylist())
+                shard.bytes += part.nbytes
+                kept.append(batch.slice(low, high - low))
+                if shard.size >= SHARD_WORDS or shard.bytes >= SHARD_BYTES:
                     yield emit()
         if kept:
             yield emit()
@@ -188,22 +189,19 @@ def slices(sizes, most: int) -> Iterator[tuple[int, int]]:
 
 
 def benchmark_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``documents`` with ``n_words``, ``spans`` (array of ``start``, ``end`` in words, merged, end exclusive) and ``items``
-    (sorted ids of items with an occurring window).
+    """``row`` (the document with all its columns), ``n_words``, ``spans`` (array of ``start``, ``end`` in words, merged, end exclusive) and
+    ``items`` (sorted ids of items with an occurring window).
 
-    ``documents`` needs ``doc_id`` and ``text``, other columns are ignored; ``benchmark`` needs ``item_id`` and ``text``. Null
-    and empty texts have no words. An item with a null id marks spans but is not listed. Repeated rows are each
-    judged. Windows never cross documents.
+    ``documents`` needs ``text``; ``benchmark`` needs ``item_id`` and ``text``. Null and empty texts have no words. An item with
+    a null id marks spans but is not listed. Repeated rows are each judged. Windows never cross documents.
     """
-    blocks = query_blocks(benchmark)
-    frame = documents.select(
-        F.col("doc_id").cast("long"), F.expr(f"cast(array() as {SPANS})").alias("spans"),
-        F.expr("cast(array() as array<long>)").alias("items"), F.col("text").cast("string"),
-    )
-    for k, items in enumerate(blocks, 1):
-        task = _search(items, window, last=k == len(blocks))
-        frame = frame.select("doc_id", "spans", "items", "text").mapInArrow(task, FOUND)
-    return frame.drop("text")
+    nothing = [F.expr(f"cast(array() as {SPANS})").alias("spans"), F.expr("cast(array() as array<long>)").alias("items")]
+    whole = documents.withColumn("text", F.col("text").cast("string"))
+    frame = whole.select(F.struct(*(F.col(f"`{c}`") for c in whole.columns)).alias("row"), *nothing)
+    kind = frame.schema["row"].dataType.simpleString()
+    for items in query_blocks(benchmark):
+        frame = frame.select("row", "spans", "items").mapInArrow(_search(items, window), f"row {kind}, {FOUND}")
+    return frame
 
 
 def query_blocks(benchmark: DataFrame, block_chars: int = QUERY_BLOCK_CHARS) -> list[list[tuple[int | None, str | None]]]:
@@ -224,3 +222,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     found = benchmark_spans(documents, benchmark, window).withColumn("n_hit", hit)
     return found.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``documents`` without the contaminated ones; the others keep every word."""
+    return contamination(documents, benchmark, window).filter("NOT contaminated").select("row.*")

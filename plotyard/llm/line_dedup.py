@@ -127,26 +127,29 @@ def linked_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return both.filter(within_edits(F.col("line_a"), F.col("line_b"), k)).select("a", "b")
 
 
-def _exploded(documents: DataFrame, min_chars: int) -> DataFrame:
+def _exploded(documents: DataFrame, min_chars: int, row: str | None) -> DataFrame:
     """A row per line: document row, ``doc_id``, line number and the line; ``eligible`` if it takes part."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = documents.select(F.monotonically_increasing_id().alias("doc_row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    docs = documents.select(number.alias("doc_row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     lines = docs.select("doc_row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return lines.withColumn("eligible", F.length("line") >= min_chars)
 
 
-def duplicate_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(
+    documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, row: str | None = None
+) -> DataFrame:
     """Per document: ``doc_id``, ``n_lines``, ``n_removed``, ``removed`` (sorted line numbers from 0 that repeat an earlier line of any
     document, exactly or within ``threshold`` edits, directly or over other lines), ``n_links`` (other distinct lines within the
     threshold, summed over its lines) and ``first_docs`` (sorted ids of the documents that keep the removed lines).
 
     ``documents`` needs ``doc_id`` and ``text``; other columns are ignored. A null text is an empty one: one empty line, which
     stays. Lines are what line feeds part; those under ``min_chars`` code points stay. Null ids come first; of repeated rows the first
-    read keeps the lines. An empty table gives no rows.
+    read keeps the lines. An empty table gives no rows. ``doc_row`` is the column ``row`` of unique longs where named.
     """
     if min_chars < 3 * (threshold + 1):
         raise ValueError("lines of min_chars must give segments of three characters")
-    occurrences = _exploded(documents, min_chars)
+    occurrences = _exploded(documents, min_chars, row)
     hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
     distinct = occurrences.filter("eligible").groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
     lines = hand_over(
@@ -181,3 +184,22 @@ def duplicate_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars:
         F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"),
         F.array_sort(F.array_distinct(gone(F.col("first.doc_id")))).alias("first_docs"),
     )
+
+
+def without_duplicate_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``documents``, same columns, without the lines that repeat earlier ones; rows that lose their last word go. ``n_chars``, where
+    there is one, is that of the new text."""
+    row = "plotyard_row"
+    numbered = hand_over(documents.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    gone = duplicate_lines(numbered, threshold, min_chars, row).filter("n_removed > 0")
+    gone = hand_over(gone.select(F.col("doc_row").alias(row), F.col("removed").alias("plotyard_removed")), "removed-lines")
+    release_shuffles(documents.sparkSession)
+    removed = F.col("plotyard_removed")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(removed, i)), "\n")
+    joined = numbered.join(gone, row, "left")
+    joined = joined.withColumn("text", F.when(removed.isNull(), F.col("text")).otherwise(kept))
+    left = joined.filter(removed.isNull() | F.col("text").rlike(r"[^\s]"))
+    if "n_chars" in documents.columns:
+        size = F.length("text").cast(documents.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", F.when(removed.isNull(), F.col("n_chars")).otherwise(size))
+    return left.select(*documents.columns)

@@ -194,16 +194,34 @@ def fit(rows: DataFrame) -> Model:
     return _fit(learn, center, scale, n_pos, n_all, prior)
 
 
+def learning_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features, fold and trusted label of every document, as a written table."""
+    trusted = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).filter("quality = 1")
+    labelled = featurize(documents).join(trusted.select("doc_id", F.lit(True).alias("is_one")), "doc_id", "left")
+    positive = F.coalesce(F.col("is_one") & ~F.col("held_out"), F.lit(False))
+    return hand_over(labelled.select("doc_id", "held_out", "features", positive.alias("positive")), "quality-features")
+
+
+def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, all columns, whose text scores at least ``threshold``."""
+    model = fit(learning_rows(documents, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                features = np.stack([text_features(x.as_py()) for x in batch.column("text")]).astype(np.float64)
+                yield batch.filter(pa.array(model.score(features) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (0 to 1) of every document; nothing but its text decides a score.
 
     ``labels`` needs ``doc_id`` and ``quality``; a document is a trusted positive if it has labels and all say 1. Labels of held-out
     rows (crc32 of the id as text divisible by 5) and of null ids are never read into a fit. Repeated rows are each scored.
     """
-    trusted = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).filter("quality = 1")
-    labelled = featurize(documents).join(trusted.select("doc_id", F.lit(True).alias("is_one")), "doc_id", "left")
-    positive = F.coalesce(F.col("is_one") & ~F.col("held_out"), F.lit(False))
-    rows = hand_over(labelled.select("doc_id", "held_out", "features", positive.alias("positive")), "quality-features")
+    rows = learning_rows(documents, labels)
     model = fit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

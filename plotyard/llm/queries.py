@@ -55,7 +55,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),

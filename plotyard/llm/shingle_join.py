@@ -228,3 +228,17 @@ def near_duplicates(documents: DataFrame, numerator: int = 4, denominator: int =
     return joined.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links")
     )
+
+
+def one_per_class(documents: DataFrame, numerator: int = 4, denominator: int = 5, words: int = WORDS) -> DataFrame:
+    """``documents``, same columns, with one row of each class of near duplicates: that of the smallest ``doc_id``, of equal ones the
+    first read. Texts without words all stay."""
+    row = "plotyard_row"
+    numbered = hand_over(documents.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    classes = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), numerator, denominator, words)
+    classes = classes.select(F.col("doc_id").alias(row), F.col("class_id").alias("plotyard_class"))
+    named = numbered.select(row, F.col("doc_id").cast("long").alias("plotyard_doc")).join(classes, row)
+    stays = named.groupBy("plotyard_class").agg(F.min(F.struct("plotyard_doc", row)).alias("first")).select(f"first.{row}")
+    stays = hand_over(stays, "first-of-class")
+    release_shuffles(documents.sparkSession)
+    return numbered.join(stays, row, "left_semi").select(*documents.columns)

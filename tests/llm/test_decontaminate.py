@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from plotyard.llm import decontaminate
-from plotyard.llm.decontaminate import contamination, merge_spans, query_blocks
+from plotyard.llm.decontaminate import contamination, drop_contaminated, merge_spans, query_blocks
 from plotyard.llm.fmindex import FMIndex, suffix_array
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -66,10 +66,15 @@ def test_documents_match_brute_force(spark, monkeypatch):
     for block in (decontaminate.QUERY_BLOCK_CHARS, 100):
         monkeypatch.setattr(decontaminate, "query_blocks", lambda x, size=block: query_blocks(x, size))
         got = contamination(d, b).collect()
-        assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got), key=str) == want
+        assert sorted(((r.row.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got), key=str) == want
     empty = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in contamination(d, empty).collect()} == {0}
     assert contamination(d.limit(0), b).collect() == []
+    left = drop_contaminated(d, b)
+    assert left.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
+        (x for x, (*_, bad) in zip(docs, brute(docs, items), strict=True) if not bad), key=str
+    )
 
 
 def test_touching_spans_become_one():
