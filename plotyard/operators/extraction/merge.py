@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from plotyard import fixed_values as fv
 from plotyard.operators.extraction.fields import FIELDS, exempt, value_type
-from plotyard.sources.io import check_no_overwrite
+from plotyard.sources.io import guarded_write
 
 
 def latest(extractions: DataFrame, key: str = "id", time: str = "extracted_at") -> DataFrame:
-    """Newest row per key. The maximum is combined map-side, so a key with many attempts is not
-    sorted anywhere; rows of one instant are told apart by their remaining columns."""
-    rest = [c for c in extractions.columns if c not in (key, time)]
-    newest = F.max(F.struct(F.col(time), *[F.col(c) for c in rest])).alias("r")
-    picked = extractions.groupBy(key).agg(newest)
-    return picked.select(*[F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in extractions.columns])
+    """Newest row per key, ties broken by the remaining columns in order. Spark keeps the first row of each key before
+    the shuffle (a rank limit), so a key with many attempts sends one row per task."""
+    kinds = {f.name: f.dataType for f in extractions.schema.fields}
+    by = [F.col(c) if _orderable(kinds[c]) else F.to_json(c) for c in (time, *(c for c in kinds if c not in (key, time)))]
+    newest = Window.partitionBy(key).orderBy(*[c.desc() for c in by])
+    return extractions.withColumn("__rank", F.row_number().over(newest)).filter("__rank = 1").drop("__rank")
+
+
+def _orderable(kind: DataType) -> bool:
+    return "map<" not in kind.simpleString()
 
 
 def apply_extractions(
@@ -73,5 +78,4 @@ def merge_to_table(
     """Write the filled table, refusing when a row or an existing value would be lost."""
     merged = apply_extractions(source, latest(extractions), trusted)
     kept = [f for f in FIELDS if f not in fv.EXTRACTION_NEW_COLUMNS]
-    check_no_overwrite(source, merged, kept)
-    merged.write.mode("overwrite").parquet(path)
+    guarded_write(source, merged, path, kept)

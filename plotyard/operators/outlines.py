@@ -1,9 +1,8 @@
 """District outlines: a concave hull per (city, district), simplified and bounded in area.
 
-Positions are reduced to one per small grid cell before they are grouped, and the cell grows with
-the number of occupied cells of the group, so a group handed to one task never exceeds
-``MAX_CELLS`` points however many listings it has. The grid pitch stays below the simplification
-tolerance for ordinary districts.
+Positions are reduced to one per grid cell of ``precision`` degrees before they are grouped. The precision is the same
+for every group and well below the simplification tolerance, so a group's outline depends on its own positions alone,
+and a group's points are bounded by its area, not by its number of listings.
 """
 
 from __future__ import annotations
@@ -20,42 +19,23 @@ from plotyard import fixed_values as fv
 from plotyard.functions import geo
 from plotyard.functions.predicates import country_clip
 
-CELL_DEG = 1e-4
-MAX_CELLS = 2048
+PRECISION_DEG = 1e-4  # about 11 m
 _SCHEMA = "city string, district string, points long, ring array<struct<lng:double,lat:double>>"
 
 
-def reduced_points(listings: DataFrame, keys: Sequence[str] = ("city", "district")) -> DataFrame:
+def reduced_points(
+    listings: DataFrame, keys: Sequence[str] = ("city", "district"), precision: float = PRECISION_DEG
+) -> DataFrame:
     """One real position per occupied grid cell of each group, with the group's listing count."""
     keys = list(keys)
     located = listings.filter(country_clip())
     for key in keys:
         located = located.filter(F.col(key).isNotNull())
-    position = F.struct("lng", "lat")
     cells = located.groupBy(
-        *keys, F.floor(F.col("lng") / CELL_DEG).alias("gx"), F.floor(F.col("lat") / CELL_DEG).alias("gy")
-    ).agg(F.min(position).alias("p"), F.count(F.lit(1)).alias("n"))
-    sizes = cells.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cells"), F.sum("n").alias("points"),
-        F.max("gx").alias("gx1"), F.min("gx").alias("gx0"),
-        F.max("gy").alias("gy1"), F.min("gy").alias("gy0"),
-    )
-    # a group over the limit is put on a grid of about sqrt(MAX_CELLS) cells a side
-    side = F.greatest(F.col("gx1") - F.col("gx0"), F.col("gy1") - F.col("gy0")) + 1
-    factor = F.when(F.col("cells") <= MAX_CELLS, F.lit(1).cast("long")).otherwise(
-        F.ceil(side / F.lit(float(int(MAX_CELLS**0.5) - 1)))
-    )
-    sized = sizes.select(*keys, "points", factor.alias("factor"))
-    return (
-        cells.join(sized, keys)
-        .groupBy(
-            *keys, "points",
-            F.floor(F.col("gx") / F.col("factor")).alias("hx"),
-            F.floor(F.col("gy") / F.col("factor")).alias("hy"),
-        )
-        .agg(F.min("p").alias("p"))
-        .select(*keys, "points", "p.lng", "p.lat")
-    )
+        *keys, F.floor(F.col("lng") / precision).alias("gx"), F.floor(F.col("lat") / precision).alias("gy")
+    ).agg(F.min(F.struct("lng", "lat")).alias("p"), F.count(F.lit(1)).alias("n"))
+    points = cells.groupBy(*keys).agg(F.sum("n").alias("points"))
+    return cells.join(points, keys).select(*keys, "points", "p.lng", "p.lat")
 
 
 def district_outlines(
@@ -64,6 +44,7 @@ def district_outlines(
     ratio: float = fv.OUTLINE_RATIO,
     tolerance: float = fv.OUTLINE_SIMPLIFY_DEG,
     max_km2: float = fv.OUTLINE_MAX_KM2,
+    precision: float = PRECISION_DEG,
 ) -> DataFrame:
     """city, district, points, ring (closed, lng/lat), area_km2; degenerate groups have none."""
 
@@ -82,7 +63,7 @@ def district_outlines(
             }
         )
 
-    eligible = reduced_points(listings).filter(F.col("points") >= minimum)
+    eligible = reduced_points(listings, precision=precision).filter(F.col("points") >= minimum)
     # hulls cost far more than their bytes suggest, so small partitions are not to be merged
     parts = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = eligible.repartition(parts, "city", "district").groupBy("city", "district")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -208,21 +209,23 @@ def geojson_collection(outlines: DataFrame) -> DataFrame:
 
 
 def check_no_overwrite(before: DataFrame, after: DataFrame, columns: Sequence[str], key: str = "id") -> None:
-    """Refuse when the row count changed or an existing value was replaced; one aggregate job."""
-    left = before.select(key, *[F.col(c).alias(f"__b_{c}") for c in columns], F.lit(1).alias("__b"))
-    right = after.select(key, *columns, F.lit(1).alias("__a"))
-    joined = left.join(right, key, "full")
+    """Refuse when a side repeats a key, a key appears on one side only, or an existing value was replaced."""
+    for name, side in (("before", before), ("after", after)):
+        if side.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+            raise GuardError(f"{key} is not unique in the table {name}")
+    left = before.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__b_{c}") for c in columns], F.lit(1).alias("__b"))
+    right = after.select(F.col(key).alias("__r"), *columns, F.lit(1).alias("__a"))
+    joined = left.join(right, F.col("__k").eqNullSafe(F.col("__r")), "full")
+    both = F.col("__a").isNotNull() & F.col("__b").isNotNull()
     overwritten = [
-        F.count_if(
-            F.col("__a").isNotNull()
-            & F.col(f"__b_{c}").isNotNull()
-            & ~F.col(f"__b_{c}").eqNullSafe(F.col(c))
-        ).alias(f"__o_{c}")
+        F.count_if(both & F.col(f"__b_{c}").isNotNull() & ~F.col(f"__b_{c}").eqNullSafe(F.col(c))).alias(f"__o_{c}")
         for c in columns
     ]
-    facts = joined.agg(F.count("__b").alias("before"), F.count("__a").alias("after"), *overwritten).first()
-    if facts["before"] != facts["after"]:
-        raise GuardError(f"row count changed: {facts['before']} -> {facts['after']}")
+    facts = joined.agg(
+        F.count("__b").alias("before"), F.count("__a").alias("after"), F.count_if(both).alias("both"), *overwritten
+    ).first()
+    if not facts["before"] == facts["after"] == facts["both"]:
+        raise GuardError(f"row count changed: {facts['before']} -> {facts['after']}, {facts['both']} in both")
     for c in columns:
         if facts[f"__o_{c}"]:
             raise GuardError(f"{facts[f'__o_{c}']} existing {c} values would be overwritten")
@@ -231,8 +234,29 @@ def check_no_overwrite(before: DataFrame, after: DataFrame, columns: Sequence[st
 def guarded_write(
     before: DataFrame, after: DataFrame, path: str, columns: Sequence[str], key: str = "id"
 ) -> None:
-    check_no_overwrite(before, after, columns, key)
-    after.write.mode("overwrite").parquet(path)
+    """Write ``after`` beside ``path``, check the written table, then publish it: what is checked is what is kept."""
+    spark = after.sparkSession
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    after.write.parquet(staged)
+    try:
+        check_no_overwrite(before, spark.read.schema(after.schema).parquet(staged), columns, key)
+        publish(spark, staged, path)
+    finally:
+        _hadoop(spark, staged)[0].delete(_hadoop(spark, staged)[1], True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Move a written table to ``path``, replacing what is there only once the new one stands beside it."""
+    files, source = _hadoop(spark, staged)
+    target = _hadoop(spark, path)[1]
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"cannot move {staged} to {path}")
 
 
 # --- model artefacts -----------------------------------------------------------------------

@@ -114,6 +114,8 @@ def test_guard_refuses_lost_rows_and_overwrites(spark):
         io.check_no_overwrite(before, before.withColumn("wc", F.lit(None).cast("int")), ["wc"])
     with pytest.raises(io.GuardError, match="row count"):
         io.check_no_overwrite(before, before.filter("id = 1"), ["wc"])
+    with pytest.raises(io.GuardError, match="unique"):
+        io.check_no_overwrite(before, before.unionByName(before), ["wc"])
 
 
 def _stub(frame: pd.DataFrame) -> pd.DataFrame:

@@ -128,10 +128,10 @@ def test_degenerate_groups_have_no_outline():
     assert outlines.concave_ring(line[:2], 0.4) is None
 
 
-def test_crowded_group_stays_within_the_point_limit(spark, monkeypatch):
-    monkeypatch.setattr(outlines, "MAX_CELLS", 100)
+def test_a_far_listing_costs_a_dense_district_nothing(spark):
     rng = random.Random(1)
-    rows = [("c", "d", 24 + rng.random() * 0.1, 46 + rng.random() * 0.1) for _ in range(3000)]
-    df = spark.createDataFrame(rows, "city string, district string, lat double, lng double")
-    reduced = outlines.reduced_points(df).collect()
-    assert 10 < len(reduced) <= 110 and {r["points"] for r in reduced} == {3000}
+    rows = [("c", "d", 24 + rng.random() * 0.05, 46 + rng.random() * 0.05) for _ in range(5000)]
+    schema = "city string, district string, lat double, lng double"
+    positions = lambda rs: {(r.lat, r.lng) for r in outlines.reduced_points(spark.createDataFrame(rs, schema)).collect()}
+    dense, with_far = positions(rows), positions([*rows, ("c", "d", 26.0, 46.0)])
+    assert len(dense) > 4800 and with_far == dense | {(26.0, 46.0)}
