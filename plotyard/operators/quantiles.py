@@ -1,16 +1,13 @@
-"""Exact order statistics and interpolated quantiles per group, at any group size.
+"""Exact order statistics and interpolated quantiles per group, at any group size, in one lazy plan.
 
-Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is
-the best plan while groups stay small, and it is what runs then. A group beyond
-``HOT_GROUP_ROWS`` takes another exact way:
+1. Rows are counted per (group, label, value), combined map-side and spread by value.
+2. Counts are added up per bucket, a monotone function of the value; running totals over the buckets of a group find the
+   bucket each wanted rank falls in.
+3. Those buckets are split again, linearly between their smallest and largest value, the same way.
+4. Only the values of the sub-buckets hit are ranked.
 
-1. count rows per (group, value) - combined map-side, spread by value;
-2. count per (group, coarse bucket), where the bucket is a monotone function of the value, and
-   find the bucket each wanted rank falls in from running totals;
-3. split that bucket again, linearly between its smallest and largest value, the same way;
-4. rank only the values of the sub-bucket hit.
-
-Running totals are only ever taken over buckets (bounded in number) or over one sub-bucket.
+The same plan serves every size: nothing runs before the caller's action, no group is collected or sorted whole, and
+running totals are only taken over buckets (bounded in number) or over one sub-bucket.
 """
 
 from __future__ import annotations
@@ -22,8 +19,6 @@ from pyspark.sql import functions as F
 
 from plotyard.operators.joins import null_safe_join
 
-HOT_GROUP_ROWS = 2_000_000
-LISTED_GROUP_ROWS = 100_000
 _LOG_STEPS = 2048
 _SUB_STEPS = 65_536
 
@@ -36,159 +31,71 @@ def clean_numeric(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group; one number reaches the driver."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return counts.agg(F.max("n")).first()[0] or 0
+def _upto(*part: str, by: str) -> Column:
+    window = Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.sum("c").over(window)
 
 
-def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, Rank],
-    listed_rows: int | None = None,
-) -> DataFrame:
-    """Values at 0-based ranks per group, one column per rank; ``ranks`` maps a name to a
-    function of the group's row count. NULL and NaN values are not ranked. Groups of at most
-    ``listed_rows`` rows (checked) are sorted as lists; beyond that the bucket way runs."""
-    keys = list(keys)
-    if not ranks:
-        raise ValueError("order_statistics needs at least one rank")
-    limit = LISTED_GROUP_ROWS if listed_rows is None else listed_rows
-    if largest_group(df, keys) <= limit:
-        listed = df.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(clean_numeric(value))).alias("__v")
-        ).filter(F.size("__v") > 0)
-        n = F.size("__v").cast("long")
-        return listed.select(
-            *keys, n.alias("n_values"),
-            *[F.element_at("__v", fn(n).cast("int") + 1).alias(name) for name, fn in ranks.items()],
-        )
-    tag = [f"__k{i}" for i in range(len(keys))]
-    counted = (
-        df.select(*[F.col(k).alias(t) for k, t in zip(keys, tag)], clean_numeric(value).alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy(*tag, "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("b1", F.floor(F.signum("v") * F.log1p(F.abs("v")) * _LOG_STEPS))
-    )
-    # group keys may be NULL; a struct compares NULL-safe in grouping and is joined with <=>
-    group = F.struct(*[F.col(t) for t in tag]) if tag else F.struct(F.lit(0).alias("__all"))
-    counted = counted.select(group.alias("g"), "v", "c", "b1")
+def _asked(asks: Column) -> Column:
+    """The asks whose rank lies among the rows before ``upto``, with their rank among these rows."""
+    before = F.col("upto") - F.col("c")
+    inside = F.filter(asks, lambda a: (a["rank"] >= before) & (a["rank"] < F.col("upto")))
+    return F.transform(inside, lambda a: F.struct(a["stat"].alias("stat"), (a["rank"] - before).alias("rank")))
 
-    coarse = counted.groupBy("g", "b1").agg(
-        F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
-    totals = coarse.groupBy("g").agg(F.sum("c").alias("n"))
-    wanted = totals.select(
-        "g",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("stat"), fn(F.col("n")).cast("long").alias("rank")
-                    )
-                    for name, fn in ranks.items()
-                ]
-            )
-        ).alias("w"),
-    ).select("g", "w.stat", "w.rank")
 
-    def locate(buckets: DataFrame, wanted: DataFrame, part: list[str], bucket: str) -> DataFrame:
-        """Attach to each wanted rank the bucket holding it and the rank inside that bucket."""
-        running = buckets.withColumn(
-            "before",
-            F.sum("c").over(
-                Window.partitionBy(*part).orderBy(bucket).rowsBetween(
-                    Window.unboundedPreceding, Window.currentRow
-                )
-            )
-            - F.col("c"),
-        )
-        on = [running[p].eqNullSafe(wanted[p]) for p in part]
-        hit = (wanted["rank"] >= running["before"]) & (
-            wanted["rank"] < running["before"] + running["c"]
-        )
-        kept = [running[c] for c in running.columns if c not in ("c", "before")]
-        return running.join(wanted, on + [hit]).select(
-            *kept, wanted["stat"], (wanted["rank"] - running["before"]).alias("rank")
-        )
+def _ranked(
+    df: DataFrame, keys: Sequence[str], values: dict[str, tuple[Column, dict[str, Rank]]]
+) -> DataFrame:
+    """Per group ``g`` (a struct of the keys), also one without values: ``stats``, a map of the values at the wanted ranks,
+    and ``counts``, a map of the values per label."""
+    labelled = [F.struct(F.lit(label).alias("label"), clean_numeric(v).alias("v")) for label, (v, _) in values.items()]
+    group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.select(group.alias("g"), F.explode(F.array(*labelled)).alias("x")).select("g", "x.label", "x.v")
+    bucket = F.floor(F.signum("v") * F.log1p(F.abs("v")) * _LOG_STEPS)
+    counted = rows.groupBy("g", "label", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("b1", bucket)
+
+    coarse = counted.groupBy("g", "label", "b1").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    found = F.sum(F.when(F.col("lo").isNotNull(), F.col("c")).otherwise(0))
+    groups = coarse.groupBy("g", "label").agg(found.alias("n"))
+    known = coarse.filter("lo IS NOT NULL").withColumns(
+        {"n": F.sum("c").over(Window.partitionBy("g", "label")), "upto": _upto("g", "label", by="b1")}
+    )
+    wanted = F.lit(None).cast("array<struct<stat:string,rank:bigint>>")
+    for label, (_, ranks) in values.items():
+        asks = [F.struct(F.lit(s).alias("stat"), fn(F.col("n")).cast("long").alias("rank")) for s, fn in ranks.items()]
+        wanted = F.when(F.col("label") == label, F.array(*asks)).otherwise(wanted)
+    first = known.select("g", "label", "b1", "lo", "hi", _asked(wanted).alias("asks")).filter(F.size("asks") > 0)
 
-    first = locate(coarse, wanted, ["g"], "b1").withColumnsRenamed({"stat": "s1", "rank": "r1"})
     width = F.col("hi") - F.col("lo")
     step = F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width * _SUB_STEPS)).otherwise(0)
-    inside = counted.alias("a").join(
-        first.select("g", "b1", "lo", "hi", F.col("s1").alias("stat")).alias("f"),
-        F.col("a.g").eqNullSafe(F.col("f.g")) & (F.col("a.b1") == F.col("f.b1")),
-    ).select("a.g", "stat", "v", "c", step.alias("b2"))
-
-    ranks1 = first.select("g", F.col("s1").alias("stat"), F.col("r1").alias("rank"))
-    fine = inside.groupBy("g", "stat", "b2").agg(F.sum("c").alias("c"))
-    second = _locate_stat(fine, ranks1)
-    last = inside.alias("a").join(
-        second.alias("s"),
-        F.col("a.g").eqNullSafe(F.col("s.g"))
-        & (F.col("a.stat") == F.col("s.stat"))
-        & (F.col("a.b2") == F.col("s.b2")),
-    ).select("a.g", "a.stat", "v", "c", "rank")
-    running = F.sum("c").over(
-        Window.partitionBy("g", "stat")
-        .orderBy("v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    picked = (
-        last.withColumn("upto", running)
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
-        .groupBy("g")
-        .agg(*[F.max(F.when(F.col("stat") == s, F.col("v"))).alias(s) for s in ranks])
-    )
-    out_keys = [F.col(f"g.{t}").alias(k) for k, t in zip(keys, tag)]
-    result = picked.join(totals, picked["g"].eqNullSafe(totals["g"])).select(
-        picked["g"].alias("g"), F.col("n"), *[F.col(s) for s in ranks]
-    )
-    return result.select(*out_keys, F.col("n").alias("n_values"), *[F.col(s) for s in ranks])
+    inside = null_safe_join(counted, first, ["g", "label", "b1"]).withColumn("b2", step)
+    fine = inside.groupBy("g", "label", "b1", "b2").agg(F.sum("c").alias("c"), F.first("asks").alias("asks"))
+    fine = fine.withColumn("upto", _upto("g", "label", "b1", by="b2"))
+    second = fine.select("g", "label", "b1", "b2", _asked(F.col("asks")).alias("asks")).filter(F.size("asks") > 0)
+    last = null_safe_join(inside.drop("asks"), second, ["g", "label", "b1", "b2"])
+    last = last.withColumn("upto", _upto("g", "label", "b1", "b2", by="v"))
+    hit = last.select("g", "v", F.explode(_asked(F.col("asks"))).alias("a"))
+    entries = hit.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("a.stat", "v"))).alias("stats"))
+    sizes = groups.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"))
+    return null_safe_join(sizes, entries, ["g"], "left")
 
 
-def _locate_stat(buckets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Second-level bucket holding each wanted rank, per (group, statistic)."""
-    running = buckets.withColumn(
-        "before",
-        F.sum("c").over(
-            Window.partitionBy("g", "stat")
-            .orderBy("b2")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        - F.col("c"),
-    )
-    hit = (
-        running["g"].eqNullSafe(wanted["g"])
-        & (running["stat"] == wanted["stat"])
-        & (wanted["rank"] >= running["before"])
-        & (wanted["rank"] < running["before"] + running["c"])
-    )
-    return running.join(wanted, hit).select(
-        running["g"], running["stat"], running["b2"], (wanted["rank"] - running["before"]).alias("rank")
-    )
+def _keys_of(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"g.k{i}").alias(k) for i, k in enumerate(keys)]
 
 
-def _large_quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float]
+def order_statistics(
+    df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, Rank]
 ) -> DataFrame:
-    """Linear-interpolated quantiles from order statistics: between the two nearest ranks."""
-    ranks: dict[str, Rank] = {}
-    for name, p in probs.items():
-        ranks[f"{name}__lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(float(p)))
-        ranks[f"{name}__hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(float(p)))
-    stats = order_statistics(df, keys, value, ranks, listed_rows=0)
-    out = [F.col(k) for k in keys]
-    for name, p in probs.items():
-        position = (F.col("n_values") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"{name}__lo"), F.col(f"{name}__hi")
-        part = position - F.floor(position)
-        out.append(
-            F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi).alias(name)
-        )
-    return stats.select(*out)
+    """Values at 0-based ranks per group, one column per rank; ``ranks`` maps a name to a
+    function of the group's row count. NULL and NaN values are not ranked, and groups without others are absent."""
+    if not ranks:
+        raise ValueError("order_statistics needs at least one rank")
+    found = _ranked(df, keys, {"v": (value, ranks)})
+    n = F.col("counts")["v"]
+    return found.filter(n > 0).select(
+        *_keys_of(keys), n.alias("n_values"), *[F.col("stats")[name].alias(name) for name in ranks]
+    )
 
 
 def grouped_quantiles(
@@ -196,59 +103,32 @@ def grouped_quantiles(
     keys: Sequence[str],
     values: dict[str, tuple[Column, dict[str, float]]],
     extra: Sequence[Column] = (),
-    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Exact quantiles (linear interpolation) plus ordinary aggregates per group.
+    """Exact quantiles (linear interpolation between the two nearest ranks) plus ordinary aggregates per group.
 
     ``values`` maps a label to (expression, {output column: probability}); ``extra`` are aliased
-    aggregates computed in the same pass. Groups are compared NULL-safe and kept.
+    aggregates. Groups are compared NULL-safe and kept. Without keys there is exactly one row.
     """
     keys = list(keys)
-    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
-    if largest_group(df, keys) <= limit:
-        return _small_quantiles(df, keys, values, extra)
-    return _mixed_quantiles(df, keys, values, extra, limit)
-
-
-def _small_quantiles(df, keys, values, extra) -> DataFrame:
-    aggregates = list(extra)
-    split: list[Column] = []
+    wanted: dict[str, tuple[Column, dict[str, Rank]]] = {}
+    picked: list[Column] = []
     for label, (expression, probs) in values.items():
-        array = F.percentile(clean_numeric(expression), F.array(*[F.lit(p) for p in probs.values()]))
-        aggregates.append(array.alias(f"__{label}"))
-        split += [F.col(f"__{label}")[i].alias(name) for i, name in enumerate(probs)]
-    grouped = df.groupBy(*keys).agg(*aggregates)
-    plain = [c for c in grouped.columns if not c.startswith("__")]
-    return grouped.select(*plain, *split)
-
-
-def _mixed_quantiles(df, keys, values, extra, limit) -> DataFrame:
-    """Cold groups in one ``percentile`` pass; hot groups through order statistics.
-
-    The set of hot groups is small by construction (each holds more than ``limit`` rows), but it
-    is not assumed to fit anywhere: it is joined like any other table and AQE picks the join.
-    """
-    if not keys:
-        whole = df.agg(*(list(extra) or [F.count(F.lit(1)).alias("__ignored")]))
-        for expression, probs in values.values():
-            part = _large_quantiles(df, [], expression, probs)
-            whole = whole.select("*", *[part.select(n).scalar().alias(n) for n in probs])
-        return whole.drop("__ignored")
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = counts.filter(F.col("__rows") > limit).select(*keys)
-    hot_rows = _null_safe_semi(df, hot, keys, "left_semi")
-    cold = _small_quantiles(_null_safe_semi(df, hot, keys, "left_anti"), keys, values, extra)
-    aggregates = list(extra) or [F.count(F.lit(1)).alias("__ignored")]
-    large = hot_rows.groupBy(*keys).agg(*aggregates).drop("__ignored")
-    for expression, probs in values.values():
-        large = null_safe_join(large, _large_quantiles(hot_rows, keys, expression, probs), keys, "left")
-    return cold.unionByName(large)
-
-
-def _null_safe_semi(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
-    renamed = other.withColumnsRenamed({k: f"__h_{k}" for k in keys})
-    on = [df[k].eqNullSafe(renamed[f"__h_{k}"]) for k in keys]
-    return df.join(renamed, on, how)
+        ranks: dict[str, Rank] = {}
+        for name, p in probs.items():
+            ranks[f"{name}__lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(float(p)))
+            ranks[f"{name}__hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(float(p)))
+            position = (F.col("counts")[label] - 1) * F.lit(float(p))
+            lo, hi = F.col("stats")[f"{name}__lo"], F.col("stats")[f"{name}__hi"]
+            part = position - F.floor(position)
+            picked.append(F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi).alias(name))
+        wanted[label] = (expression, ranks)
+    found = _ranked(df, keys, wanted).select(*_keys_of(keys), *picked)
+    if keys and not extra:
+        return found
+    whole = df.groupBy(*keys).agg(*(list(extra) or [F.count(F.lit(1)).alias("__ignored")]))
+    if keys:
+        return null_safe_join(whole, found, keys, "left")
+    return whole.join(found, F.lit(True), "left").drop("__ignored")  # one row each
 
 
 def nearest_rank_breaks(df: DataFrame, keys: Sequence[str], value: Column, steps: int) -> DataFrame:

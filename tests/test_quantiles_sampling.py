@@ -21,12 +21,11 @@ def _expected(rows, key, p):
     return float(np.quantile(v, p)) if v else None
 
 
-@pytest.mark.parametrize("hot_rows", [None, 100])
-def test_grouped_quantiles_match_numpy(values, hot_rows):
+def test_grouped_quantiles_match_numpy(values):
     df, rows = values
     probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q995": 0.995, "q1": 1.0}
     got = grouped_quantiles(
-        df, ["k"], {"v": (F.col("v"), probs)}, extra=[F.count(F.lit(1)).alias("n")], hot_rows=hot_rows
+        df, ["k"], {"v": (F.col("v"), probs)}, extra=[F.count(F.lit(1)).alias("n")]
     ).collect()
     assert {r["k"] for r in got} == {"hot", "cold", None, "nan"}
     for r in got:
@@ -35,20 +34,31 @@ def test_grouped_quantiles_match_numpy(values, hot_rows):
             assert (r[name] is None) if want is None else r[name] == pytest.approx(want, rel=1e-12)
 
 
-def test_global_quantile_without_keys_takes_both_ways(values):
+def test_global_quantile_without_keys(values, spark):
     df, rows = values
     spec = {"v": (F.col("v"), {"m": 0.5})}
-    small = grouped_quantiles(df, [], spec).first()["m"]
-    large = grouped_quantiles(df, [], spec, hot_rows=10).first()["m"]
-    assert small == pytest.approx(large, rel=1e-12)
+    want = float(np.quantile([x for _, x in rows if x is not None and not np.isnan(x)], 0.5))
+    assert grouped_quantiles(df, [], spec).first()["m"] == pytest.approx(want, rel=1e-12)
+    assert [r["m"] for r in grouped_quantiles(df.limit(0), [], spec).collect()] == [None]
 
 
-def test_order_statistics_large_way_equals_listed_way(values):
-    df, _ = values
+def test_order_statistics_are_the_sorted_values(values):
+    df, rows = values
     ranks = {"first": lambda n: n * 0, "mid": lambda n: F.floor(n / 2), "last": lambda n: n - 1}
-    listed = {r["k"]: r.asDict() for r in order_statistics(df, ["k"], F.col("v"), ranks).collect()}
-    large = {r["k"]: r.asDict() for r in order_statistics(df, ["k"], F.col("v"), ranks, 0).collect()}
-    assert listed == large
+    got = {r["k"]: (r["n_values"], r["first"], r["mid"], r["last"]) for r in order_statistics(df, ["k"], F.col("v"), ranks).collect()}
+    for key in ("hot", "cold", None):
+        v = sorted(x for k, x in rows if k == key and x is not None)
+        assert got.pop(key) == (len(v), v[0], v[len(v) // 2], v[-1])
+    assert got == {}
+
+
+def test_nothing_runs_before_the_action(values, spark):
+    df, _ = values
+    spark.sparkContext.setJobGroup("building quantiles", "")
+    grouped_quantiles(df, ["k"], {"v": (F.col("v"), {"m": 0.5})})
+    nearest_rank_breaks(df, ["k"], F.col("v"), 5)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("building quantiles") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 9])
