@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +77,9 @@ def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps now, not whenever the driver's JVM
     happens to collect; a long chain of written tables then needs the disk of its largest step only."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.5, 0.0):  # what the first collection frees on the driver's queues holds the rest
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
