@@ -21,7 +21,7 @@ from plotyard.session import hand_over, release_shuffles
 
 THRESHOLD = 2
 MIN_CHARS = 40  # shorter lines are left alone: few edits make unrelated short lines equal
-COUNTED = "etaoinshrdlucmgb"  # characters whose counts, modulo 16, bound the edit distance from below
+COUNTED = "etaoinsr"  # characters whose counts, modulo 16, bound the edit distance from below
 
 
 def within_edits(a: Column, b: Column, k: int) -> Column:
@@ -70,9 +70,9 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
 
 def letter_counts(line: Column) -> Column:
     """Counts of ``COUNTED`` modulo 16, four bits each."""
-    packed = F.lit(0).cast("long")
+    packed = F.lit(0)
     for k, c in enumerate(COUNTED):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+        count = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
         packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * k))
     return packed
 
@@ -98,10 +98,9 @@ def _key(line: Column, at: Column, size: Column, length: Column, i: int) -> Colu
 
 
 def linked_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``a``, ``b``: ids of distinct lines within ``threshold`` edits, each pair once. ``lines`` has ``id``, ``line`` and ``n`` (its code
-    points, more than ``threshold``)."""
+    """``a``, ``b``: ids of distinct lines within ``threshold`` edits, each pair once. ``lines``, a written table as it is read three
+    times, has ``id``, ``line``, ``n`` (its code points, more than ``threshold``) and ``letters`` (``letter_counts``)."""
     k, n, line = threshold, F.col("n"), F.col("line")
-    lines = lines.select("id", "line", "n", letter_counts(line).alias("letters"))
     index_keys = [_key(line, *_segment(n, i, k), n, i) for i in range(k + 1)]
     index = lines.select(F.col("id").alias("b"), F.col("letters").alias("letters_b"), F.explode(F.array(*index_keys)).alias("key"))
     probes = []
@@ -153,10 +152,14 @@ def duplicate_lines(
     hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
     distinct = occurrences.filter("eligible").groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
     lines = hand_over(
-        distinct.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), "copies", *hashes), "lines"
-    )
+        distinct.select(
+            F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), "copies", *hashes,
+            letter_counts(F.col("line")).alias("letters"),
+        ),
+        "lines",
+    )
     release_shuffles(documents.sparkSession)
-    links = hand_over(linked_lines(lines.select("id", "line", "n"), threshold), "line-links")
+    links = hand_over(linked_lines(lines.select("id", "line", "n", "letters"), threshold), "line-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     grouped = components(links).join(degree, "id")
     # lines with a copy or a link; the rest of the lines need no class
