@@ -27,9 +27,9 @@ from plotyard.session import hand_over, release_shuffles
 WORDS = 5
 TREES, DEPTH, TARGET_RECALL = 40, 8, 0.9999
 BLOCK = 160  # representatives of a candidate group in a block
-PACKED_BYTES = 48 << 20  # memory for the bit matrix of a block pair; longer sets are intersected pair by pair
+PACKED_BYTES = 16 << 20  # memory for the bit matrix of a block pair; longer sets are intersected pair by pair
 CHUNK = 8192  # shingles hashed at once
-MAX_CACHED_WORDS = 1_000_000
+MAX_CACHED_WORDS = 300_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,14 +125,15 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], pairs: np.nda
     rows = [left[i] for i in used_left] + [right[i] for i in used_right]
     every = np.unique(np.concatenate(rows))
     if len(rows) * (len(every) // 8 + 1) <= PACKED_BYTES:
-        bits = np.zeros((len(rows), len(every)), dtype=bool)
-        for row, x in zip(bits, rows, strict=True):
-            row[np.searchsorted(every, x)] = True
-        packed = np.packbits(bits, axis=1)
+        packed = np.zeros((len(rows), (len(every) + 7) // 8), dtype=np.uint8)
+        for row, x in zip(packed, rows, strict=True):
+            bits = np.zeros(len(every), dtype=bool)
+            bits[np.searchsorted(every, x)] = True
+            row[:] = np.packbits(bits)
         i = np.searchsorted(used_left, pairs[:, 0])
         j = np.searchsorted(used_right, pairs[:, 1]) + len(used_left)
         both = np.concatenate([
-            np.bitwise_count(packed[i[k : k + 256]] & packed[j[k : k + 256]]).sum(axis=1, dtype=np.int64) for k in range(0, len(pairs), 256)
+            np.bitwise_count(packed[i[k : k + 64]] & packed[j[k : k + 64]]).sum(axis=1, dtype=np.int64) for k in range(0, len(pairs), 64)
         ])
     else:
         both = np.array([len(np.intersect1d(left[i], right[j], assume_unique=True)) for i, j in pairs], dtype=np.int64)
