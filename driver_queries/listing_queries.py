@@ -858,16 +858,25 @@ def _(spark, sf):
 # --- H: scalar functions on listings ----------------------------------------------------------
 
 
+# every tier occurs: prices as they are, in thousands, in millions and a thousandfold
+_TIERS = "(CASE id % 4 WHEN 0 THEN price WHEN 1 THEN price / 1e3 WHEN 2 THEN price / 1e6 ELSE price * 1e4 END)"
+
+
 @query(
     "H10_compact_price",
-    f"{WITH_L} SELECT id, CASE WHEN price >= 1e6 THEN rtrim(rtrim(CASE WHEN price / 1e6 < 10 THEN printf('%.2f', price / 1e6) "
-    "ELSE printf('%.1f', price / 1e6) END, '0'), '.') || 'M' WHEN price >= 1e3 THEN (CASE WHEN price / 1e3 < 10 THEN "
-    "rtrim(rtrim(printf('%.1f', price / 1e3), '0'), '.') ELSE printf('%.0f', price / 1e3) END) || 'K' END AS label "
-    "FROM l WHERE price >= 1e3",
+    f"{WITH_L}, t AS (SELECT id, {_TIERS} AS p FROM l) SELECT id, CASE "
+    + " ".join(
+        f"WHEN p >= {unit} THEN rtrim(rtrim(CASE WHEN p / {unit} < 10 THEN printf('%.2f', p / {unit}) "
+        f"ELSE printf('%.1f', p / {unit}) END, '0'), '.') || '{suffix}'"
+        for unit, suffix in (("1e9", "B"), ("1e6", "M"))
+    )
+    + " WHEN p >= 1e3 THEN (CASE WHEN p / 1e3 < 10 THEN "
+    "rtrim(rtrim(printf('%.1f', p / 1e3), '0'), '.') ELSE printf('%.0f', p / 1e3) END) || 'K' "
+    "ELSE CAST(CAST(floor(p + 0.5e0) AS BIGINT) AS VARCHAR) || ' SAR' END AS label FROM t",
 )
 def _(spark, sf):
-    priced = T.listings(spark, sf).filter(F.col("price") >= 1e3)
-    return priced.select("id", labels.compact_price(F.col("price")).alias("label"))
+    priced = T.listings(spark, sf).select("id", F.expr(_TIERS).alias("p"))
+    return priced.select("id", labels.compact_price(F.col("p")).alias("label"))
 
 
 @query(

@@ -150,16 +150,22 @@ def _(spark, sf):
     "D2_district_distances",
     f"{_WIDE_SQL} SELECT city, district, count(*) AS listing_count, "
     + ", ".join(f"round(sum(dist_{c}_m), 1) AS sum_dist_{c}_m" for c in fv.POI_CATEGORY_NAMES)
+    + ", "
+    + ", ".join(f"avg(dist_{c}_m) IS NOT NULL AS mean_dist_{c}_fits" for c in fv.POI_CATEGORY_NAMES)
     + ", count(*) >= 10 AS sufficient FROM l JOIN w USING (id) GROUP BY 1, 2",
 )
 def _(spark, sf):
     listings = T.listings(spark, sf)
     joined = listings.join(spatial.enrich_listings(listings, _index(spark, sf)), "id")
     stats = districts.district_stats(joined)
-    # means carry one decimal; sums (exact to a decimal) are what two engines can agree on
     sums = [F.round(F.sum(f"dist_{c}_m"), 1).alias(f"sum_dist_{c}_m") for c in fv.POI_CATEGORY_NAMES]
-    totals = joined.groupBy("city", "district").agg(*sums)
-    return null_safe_join(stats.select("city", "district", "listing_count", "sufficient"), totals, ["city", "district"])
+    averages = [F.avg(f"dist_{c}_m").alias(f"avg_{c}") for c in fv.POI_CATEGORY_NAMES]
+    totals = joined.groupBy("city", "district").agg(*sums, *averages)
+    # a mean carries one decimal, half to even; ties differ between engines, so it must lie within half a decimal
+    off = {c: F.abs(F.col(f"mean_dist_{c}_m") - F.col(f"avg_{c}")) for c in fv.POI_CATEGORY_NAMES}
+    means = [F.coalesce(off[c] < 0.0500001, F.lit(False)).alias(f"mean_dist_{c}_fits") for c in fv.POI_CATEGORY_NAMES]
+    both = null_safe_join(stats, totals, ["city", "district"])
+    return both.select("city", "district", "listing_count", "sufficient", *means, *[f"sum_dist_{c}_m" for c in fv.POI_CATEGORY_NAMES])
 
 
 @query(

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driver_queries import tables as T
-from driver_queries.registry import WITH_LE, query
+from driver_queries.registry import WITH_L, WITH_LE, query
 from plotyard.functions import pricing
 from plotyard.operators import metrics, models, sampling
 from plotyard.session import scratch_path
@@ -115,7 +115,16 @@ def _(spark, sf):
     return metrics.returns(scored).select("target", "params", "R2_per_train_s", "params_per_R2_point")
 
 
-@query("D20_rank_correlations")
+_RANK = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2e0)"
+
+
+@query(
+    "D20_rank_correlations",
+    f"{WITH_L}, b AS (SELECT city, count(*) AS params, avg(price) AS mean_price, avg(area) AS mean_area FROM l GROUP BY 1), "
+    f"r AS (SELECT {_RANK.format('params')} AS n, {_RANK.format('mean_price')} AS p, {_RANK.format('mean_area')} AS a FROM b) "
+    "SELECT 'mean_price' AS metric, 'params' AS size, round(corr(p, n), 3) AS rho FROM r UNION ALL "
+    "SELECT 'mean_area', 'params', round(corr(a, n), 3) FROM r",
+)
 def _(spark, sf):
     board = T.listings(spark, sf).groupBy("city").agg(
         F.count(F.lit(1)).alias("params"), F.avg("price").alias("mean_price"), F.avg("area").alias("mean_area")
