@@ -7,9 +7,10 @@ anchor occurs once are unique and go no further. Equal segments are counted and
 repeat. The distinct segments of an anchor that has several are compared in a shard: its suffix array (induced sorting)
 and common prefixes of at least ``window`` between neighbours give the windows that repeat.
 
-An anchor with more distinct segments than fit a shard is split over several by a hash of the segment; each of these
-returns hashes (128 bits) of its distinct windows, and a window found in two of them repeats too. So no task holds more than a
-bounded part of a group, and no pairs are formed.
+An anchor with more distinct segments than fit a shard is split over several by a hash of the segment. Each of these
+sends on every distinct window once (128-bit hash), under an anchor of nine tenths of the window; windows whose longer
+anchor no other row has are unique, and a window that two shards sent repeats. So no task holds more than a bounded
+part of a group, and no pairs are formed.
 """
 
 from __future__ import annotations
@@ -145,19 +146,34 @@ def repeated_windows(segments: list[bytes], window: int) -> list[np.ndarray]:
     return np.split(starts[found], np.searchsorted(owner[found], np.arange(1, len(segments))))
 
 
+COMPARED = "anchor long, segment long, low int, high int, fine binary, at array<int>, hashes binary"
+
+
 def _compare(window: int):
+    fine = window - window // 10
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["anchor", "segment"])
         found = repeated_windows(pdf["bytes"].tolist(), window)
         out: list[tuple] = []
+        sent: set[bytes] = set()  # windows of this shard that already have a row
         for anchor, segment, parts, data, at in zip(pdf["anchor"], pdf["segment"], pdf["parts"], pdf["bytes"], found, strict=True):
             for low, high in _runs(at):
-                out.append((anchor, segment, low, high, None))
+                out.append((anchor, segment, low, high, None, None, None))
             if parts > 1:
                 view = memoryview(data)
-                for k in range(len(data) - window + 1):
-                    out.append((anchor, segment, k, k, xxhash.xxh3_128_digest(view[k : k + window])))
-        return pd.DataFrame(out, columns=["anchor", "segment", "low", "high", "hash"]).astype({"anchor": "int64", "segment": "int64", "low": "int32", "high": "int32"})
+                key, first, last = anchors(np.frombuffer(data, dtype=np.uint8), window, fine)
+                for k, low, high in zip(key.tolist(), first.tolist(), last.tolist(), strict=True):
+                    fresh = []
+                    for i in range(low, high + 1):
+                        digest = xxhash.xxh3_128_digest(view[i : i + window])
+                        if digest not in sent:
+                            sent.add(digest)
+                            fresh.append((i, digest))
+                    if fresh:
+                        out.append((anchor, segment, low, high, k.to_bytes(8, "little", signed=True), [i for i, _ in fresh], b"".join(h for _, h in fresh)))
+        kinds = {"anchor": "int64", "segment": "int64", "low": "int32", "high": "int32"}
+        return pd.DataFrame(out, columns=["anchor", "segment", "low", "high", "fine", "at", "hashes"]).astype(kinds)
 
     return run
 
@@ -192,13 +208,18 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     )
     same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text"))
     fetched = docs.join(wanted, same).select("text", "wanted").mapInArrow(_fetch, "anchor long, segment long, parts int, shard long, bytes binary")
-    compared = fetched.groupBy("shard").applyInPandas(_compare(window), "anchor long, segment long, low int, high int, hash binary")
+    compared = fetched.groupBy("shard").applyInPandas(_compare(window), COMPARED)
     compared = hand_over(compared, "compared-windows")
     release_shuffles(spark)
-    across = compared.filter("hash IS NOT NULL")
-    twice = across.select("hash", "segment").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    split = across.join(twice, "hash", "left_semi")
-    runs = compared.filter("hash IS NULL").unionByName(split).select("anchor", "segment", "low", "high")
+    # windows of split groups: only where a longer anchor is shared can a window be, and only one of each shard is sent
+    across = compared.filter("fine IS NOT NULL")
+    met = across.groupBy("anchor", "fine").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "fine")
+    sent = across.join(met, ["anchor", "fine"], "left_semi").select("anchor", "segment", F.posexplode("at").alias("k", "low"), "hashes")
+    sent = sent.select("anchor", "segment", "low", F.col("low").alias("high"), F.substring("hashes", F.col("k") * 16 + 1, F.lit(16)).alias("hash"))
+    twice = sent.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    split = sent.join(twice, "hash", "left_semi")
+    span = ["anchor", "segment", "low", "high"]
+    runs = compared.filter("fine IS NULL").select(*span).unionByName(split.select(*span))
     whole = distinct.filter("copies > 1").select("anchor", "segment", F.lit(0).alias("low"), (F.col("length") - window).alias("high"))
     runs = runs.unionByName(whole).groupBy("anchor", "segment").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
     placed = shared.join(runs, ["anchor", "segment"]).select("doc_id", "text_hash", "start", F.explode("runs").alias("run"))
