@@ -18,6 +18,7 @@ from plotyard.llm.columns import let
 from plotyard.session import hand_over
 
 LIMIT, DELTA = 0.05, 0.05
+BROADCAST_STRATA = 10_000  # rows of at most 100 bytes each
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -165,7 +166,9 @@ def judge(documents: DataFrame, labels: DataFrame, limit: float = LIMIT, delta:
     ``labels`` needs ``doc_id`` and ``quality``. Measures are written once and read for choosing and for judging.
     """
     measured = hand_over(measures(documents), "measures")
-    cutoffs = choose_cutoffs(measured, labels.select("doc_id", "quality"), limit, delta)
+    cutoffs = hand_over(choose_cutoffs(measured, labels.select("doc_id", "quality"), limit, delta), "cutoffs")
+    if cutoffs.count() <= BROADCAST_STRATA:  # a stratum can hold most rows; beyond the bound strata are many and small
+        cutoffs = F.broadcast(cutoffs)
     judged = measured.join(cutoffs, "stratum", "left")
     bad = F.col("base_failed")
     for rule, (measure, larger, _) in RULES.items():
