@@ -13,6 +13,7 @@ import os
 import numpy as np
 
 MAX_CACHED_CHUNKS = 1_000_000
+PUNCTUATION = ",.!?;:%*#&$"
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -28,10 +29,11 @@ class ChunkEncoder(dict):
         self.dtype = id_dtype(self.tokenizer.get_vocab_size(with_added_tokens=True))
 
     def __missing__(self, chunk: str) -> bytes:
-        """A final comma or full stop after an ASCII letter is a token of its own, and ASCII letters
-        are lower-cased by the tokenizer, so variants of a chunk share one call."""
-        if len(chunk) > 2 and chunk[-1] in ",." and chunk[-2].isascii() and chunk[-2].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]]
+        """Punctuation after an ASCII letter is a token run of its own unless an apostrophe or a special token's sign is in
+        it, and ASCII letters are lower-cased by the tokenizer, so variants of a chunk share one call."""
+        word = chunk.rstrip(PUNCTUATION)
+        if word != chunk and word and word[-1].isascii() and word[-1].isalpha():
+            ids = self[word] + self[chunk[len(word) :]]
         elif chunk.isascii() and "<" not in chunk and chunk != (lower := chunk.lower()):
             ids = self[lower]
         else:

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -23,6 +24,11 @@ def test_chunks_give_the_ids_of_the_whole_text(whole):
     words = ChunkEncoder(default_tokenizer())
     for text in TEXTS:
         assert words.encode(text).tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    rng = random.Random(6)
+    parts = ["ab", "É", "x'", "'s", "S", "<|endoftext|>", "<|", "|>", "%%%", ".,", "!", "9", "$", " ", " ", "\n", "\t", "…", "e\u0301", "#'ll", "İ", "ß"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert words.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_pieces_cover_every_id_once(spark, whole):
