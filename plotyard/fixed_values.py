@@ -270,3 +270,14 @@ FREEFORM_ROOMS_PATTERN = r"(?U)\d\s*(?:مجلس|مجالس|صاله|صالة|ص
 MASTER_ROOM_PATTERN = r"ماستر|رئيسيه|رئيسية"
 MAID_PATTERN = r"خادمه|خادمة|شغاله|شغالة"
 MAID_ABSENT_PATTERN = r"(?U)(?:خادمه|خادمة|شغاله|شغالة)\s*\S*\s*[\(:]\s*(?:لا|لايوجد|بدون)?\s*[\)]"
+
+# Order and names of the leaderboard's targets and models.
+TARGET_RANK = {"all": 0, "built": 1, "land": 2}
+TARGET_LABEL = {"all": "universal", "built": "buildings", "land": "lands"}
+MODEL_RANK = {"gbt": 1, "linear": 2, "ridge": 3, "lasso": 4}
+
+# Letters folded to one spelling, and their replacements one for one.
+CONTENT_LETTERS_FROM = "إأآٱى"
+CONTENT_LETTERS_TO = "ااااي"
+SEARCH_LETTERS_FROM = "إأآة"
+SEARCH_LETTERS_TO = "اااه"

@@ -12,10 +12,6 @@ from plotyard.functions.pricing import absolute_error_pct
 from plotyard.operators.joins import null_safe_join
 from plotyard.operators.quantiles import grouped_quantiles
 
-TARGET_RANK = {"all": 0, "built": 1, "land": 2}
-TARGET_LABEL = {"all": "universal", "built": "buildings", "land": "lands"}
-MODEL_RANK = {"xgb_wide": 0, "xgb_native": 1, "gbt": 1, "linear": 2, "ridge": 3, "lasso": 4}
-
 
 def accuracy(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Metrics per group from (true_log, predicted_log, scale): the fitted log space, the predicted
@@ -85,8 +81,8 @@ def leaderboard(scored: DataFrame) -> DataFrame:
     return (
         test.join(train, ["target", "model"])
         .withColumn("R2_gap", F.col("R2_log_train") - F.col("R2_log"))
-        .withColumn("label", _mapped("target", TARGET_LABEL))
-        .orderBy(_mapped("target", TARGET_RANK), _mapped("model", MODEL_RANK), "model")
+        .withColumn("label", _mapped("target", fv.TARGET_LABEL))
+        .orderBy(_mapped("target", fv.TARGET_RANK), _mapped("model", fv.MODEL_RANK), "model")
     )
 
 
