@@ -21,7 +21,7 @@ from plotyard.session import hand_over, release_shuffles
 
 THRESHOLD = 2
 MIN_CHARS = 40  # shorter lines are left alone: few edits make unrelated short lines equal
-COUNTED = "etaoinsr"  # characters whose counts, modulo 16, bound the edit distance from below
+COUNTED = "etaoinsrhdlu"  # characters whose counts, modulo 16, bound the edit distance from below
 
 
 def within_edits(a: Column, b: Column, k: int) -> Column:
@@ -70,9 +70,9 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
 
 def letter_counts(line: Column) -> Column:
     """Counts of ``COUNTED`` modulo 16, four bits each."""
-    packed = F.lit(0)
+    packed = F.lit(0).cast("long")
     for k, c in enumerate(COUNTED):
-        count = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+        count = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
         packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * k))
     return packed
 
