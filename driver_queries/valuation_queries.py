@@ -3,17 +3,21 @@ fitted models are checked by rows only, as another engine's trees differ."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driver_queries import tables as T
 from driver_queries.registry import WITH_L, WITH_LE, query
+from plotyard import fixed_values as fv
 from plotyard.functions import pricing
 from plotyard.operators import metrics, models, sampling
 from plotyard.session import scratch_path
 from plotyard.sources import io
 
-# Small ensembles keep the rows-only checks short; production defaults are in operators.models.
-QUICK = {"maxIter": 3, "maxDepth": 4, "stepSize": 0.3}
+MARKETS = ("built", "land")
 
 
 def _rows(spark, sf):
@@ -25,6 +29,10 @@ def _rows(spark, sf):
     return models.modelling_rows(filled.fillna({"district": "none"}))
 
 
+def _union(frames):
+    return reduce(DataFrame.unionByName, frames)
+
+
 def _given(spark, sf):
     """Sale listings with the stand-in estimate as their prediction."""
     joined = T.listings(spark, sf).join(T.estimates(spark, sf), "id")
@@ -142,90 +150,106 @@ def _(spark, sf):
 @query("K3_boosted_fit")
 def _(spark, sf):
     rows = _rows(spark, sf)
-    fitted = models.fit(rows, "land", QUICK)
-    return models.predict(models.market_rows(rows, "land"), fitted).select("id", "predicted_log", "predicted")
+    scored = [models.predict(models.market_rows(rows, m), models.fit(rows, m)) for m in MARKETS]
+    return _union([part.select("id", "predicted_log", "predicted") for part in scored])
 
 
 @query("K4_random_search")
 def _(spark, sf):
-    grid = {"maxIter": (2, 3), "maxDepth": (2, 3), "stepSize": (0.1, 0.3)}
-    _, scored = models.search(_rows(spark, sf), "land", grid, iterations=2, folds=2)
-    return spark.createDataFrame([(str(p), float(s)) for p, s in scored], "params string, rmse double")
+    rows = _rows(spark, sf)
+    scored = [(m, str(p), float(s)) for m in MARKETS for p, s in models.search(rows, m)[1]]
+    return spark.createDataFrame(scored, "target string, params string, rmse double")
+
+
+def _out_of_fold(spark, sf, market):
+    predictions = models.out_of_fold(_rows(spark, sf), market)
+    return predictions.filter(F.col("predicted").isNotNull()).select("id", "market", "price")
 
 
 @query("K5_out_of_fold", f"{WITH_LE} SELECT id, market, price FROM (SELECT id, estimate_market AS market, price FROM l JOIN e USING (id)) WHERE market = 'land'")
 def _(spark, sf):
-    predictions = models.out_of_fold(_rows(spark, sf), "land", QUICK)
-    return predictions.filter(F.col("predicted").isNotNull()).select("id", "market", "price")
+    return _out_of_fold(spark, sf, "land")
+
+
+@query("K5_out_of_fold_built", f"{WITH_LE} SELECT id, market, price FROM (SELECT id, estimate_market AS market, price FROM l JOIN e USING (id)) WHERE market = 'built'")
+def _(spark, sf):
+    return _out_of_fold(spark, sf, "built")
 
 
 @query("K7_score_described")
 def _(spark, sf):
     rows = _rows(spark, sf)
-    _, fitted = models.value_market(rows, "land", QUICK, folds=2)
-    # the described properties are the land listings themselves, some in places nobody has seen
-    described = rows.filter("market = 'land'").select(
+    fitted = [models.value_market(rows, m, models.DEFAULT_PARAMS)[1] for m in MARKETS]
+    # the described properties are the listings themselves, some in places nobody has seen; what was not given is null
+    absent = {v: F.when(F.col(flag) == 0, F.col(v)) for flag, v in fv.MISSING_FLAG_OF.items()}
+    given = sorted({f for x in fitted for f in x.features} - set(absent) - set(fv.MISSING_FLAG_OF) - {"city"})
+    described = rows.select(
         F.col("id").alias("request_id"), F.when(F.col("is_urgent") == 1, "nowhere").otherwise(F.col("city")).alias("city"),
-        "district", "estate_type", "area_m2", "street_width_m", "is_corner",
+        "estate_type", *given, *[c.alias(v) for v, c in absent.items()],
         F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"),
     )
-    return models.score_described(described, [fitted])
+    return models.score_described(described, fitted)
 
 
 @query("A14_model_round_trip")
 def _(spark, sf):
     from plotyard.plans.offline import load_fitted
 
-    rows, folder = _rows(spark, sf), scratch_path(spark, "model")
-    fitted = models.fit(rows, "land", QUICK)
-    io.save_model(fitted.model, fitted.metadata(), f"{folder}/models/land", spark)
-    return models.predict(models.market_rows(rows, "land"), load_fitted(spark, folder, "land")).select("id", "predicted")
+    rows, folder, parts = _rows(spark, sf), scratch_path(spark, "model"), []
+    for market in MARKETS:
+        fitted = models.fit(rows, market)
+        io.save_model(fitted.model, fitted.metadata(), f"{folder}/models/{market}", spark)
+        parts.append(models.predict(models.market_rows(rows, market), load_fitted(spark, folder, market)))
+    return _union([part.select("id", "predicted") for part in parts])
 
 
 @query("K9_linear_baselines")
 def _(spark, sf):
-    train, test = sampling.train_test_split(models.market_rows(_rows(spark, sf), "land"))
-    train, test, _ = models.linear_frame(train, test, "land")
-    parts = []
-    for kind in ("linear", "ridge", "lasso"):
-        model, _ = models.fit_linear(train, kind, alphas=(0.001, 0.1), folds=2)
-        scored = model.transform(test).select("true_log", "predicted_log", F.col("area_m2").alias("scale"))
-        parts.append(
-            metrics.accuracy(scored).select(
-                F.lit(kind).alias("model"), F.lit(models.model_size(model)).alias("coefficients"), "rows", "R2_log"
+    rows, parts = _rows(spark, sf), []
+    for market in MARKETS:
+        train, test = sampling.train_test_split(models.market_rows(rows, market))
+        train, test, _ = models.linear_frame(train, test, market)
+        scale = F.col("area_m2") if market == "land" else F.lit(1.0)
+        for kind in ("linear", "ridge", "lasso"):
+            model, _ = models.fit_linear(train, kind)
+            scored = model.transform(test).select("true_log", "predicted_log", scale.alias("scale"))
+            size = F.lit(models.model_size(model)).alias("coefficients")
+            parts.append(
+                metrics.accuracy(scored).select(F.lit(market).alias("target"), F.lit(kind).alias("model"), size, "rows", "R2_log")
             )
-        )
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _union(parts)
 
 
 @query("K8_standardised_train")
 def _(spark, sf):
-    train, test = sampling.train_test_split(models.market_rows(_rows(spark, sf), "land"))
-    scaled, _, kept = models.linear_frame(train, test, "land")
-    from pyspark.ml.functions import vector_to_array
-
-    values = scaled.select(vector_to_array("features").alias("v"))
-    ends = [F.round(F.avg(F.col("v")[i]), 6).alias(f"mean_{c}") for i, c in enumerate(kept)]
-    return values.agg(*ends)
+    rows, parts = _rows(spark, sf), []
+    for market in MARKETS:
+        train, test = sampling.train_test_split(models.market_rows(rows, market))
+        scaled, _, kept = models.linear_frame(train, test, market)
+        values = scaled.select(F.posexplode(vector_to_array("features")).alias("at", "v"))
+        ends = [F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std")]
+        names = F.element_at(F.array(*map(F.lit, kept)), F.col("at") + 1).alias("feature")
+        parts.append(values.groupBy("at").agg(*ends).select(F.lit(market).alias("target"), names, "mean", "std"))
+    return _union(parts)
 
 
 @query("K10_permutation_importance")
 def _(spark, sf):
     rows = _rows(spark, sf)
-    fitted = models.fit(rows, "land", QUICK)
-    return models.permutation_importance(rows, fitted, repeats=2, features=["area_m2", "district"])
+    tables = [models.permutation_importance(rows, models.fit(rows, m)).select(F.lit(m).alias("target"), "*") for m in MARKETS]
+    return _union(tables)
 
 
 @query("K11_model_size")
 def _(spark, sf):
-    fitted = models.fit(_rows(spark, sf), "land", QUICK)
-    leaves = models.model_size(fitted.model)
-    return spark.createDataFrame([(fitted.market, leaves, len(fitted.features))], "target string, leaves long, features long")
+    rows = _rows(spark, sf)
+    sizes = [(x.market, models.model_size(x.model), len(x.features)) for x in (models.fit(rows, m) for m in MARKETS)]
+    return spark.createDataFrame(sizes, "target string, leaves long, features long")
 
 
 @query("K12_market_comparison")
 def _(spark, sf):
-    return models.compare_markets(_rows(spark, sf), params=QUICK).select("target", "split", "rows", "R2_log", "MedAPE_pct")
+    return models.compare_markets(_rows(spark, sf)).select("target", "split", "rows", "R2_log", "MedAPE_pct")
 
 
 @query(
