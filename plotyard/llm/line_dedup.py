@@ -1,6 +1,9 @@
 """Near-duplicate lines by a segment-partition edit join, as DataFrame and SQL functions only.
 
-Two lines within ``threshold`` edits share at least one of ``threshold`` + 1 segments of the shorter one, nearly in place.
+Exact copies of a line that is not blank are found at every length. The edits that near copies may have grow with the line: one
+for every ``CHARS_PER_EDIT`` code points of the shorter line, at most ``threshold``.
+
+Two lines within k edits share at least one of k + 1 segments of the shorter one, nearly in place.
 Every distinct line is indexed under its segments, each with the line's length and the segment's number; every line
 probes, for each length it may match, only the substrings that can start a match given the length difference. Pairs
 that meet must also be close in their letter counts (each edit changes at most two), and are verified by banded
@@ -20,7 +23,7 @@ from plotyard.llm.components import components
 from plotyard.session import hand_over, release_shuffles
 
 THRESHOLD = 2
-MIN_CHARS = 40  # shorter lines are left alone: few edits make unrelated short lines equal
+CHARS_PER_EDIT = 10  # few edits make unrelated short lines equal, so short lines may have fewer
 COUNTED = "etaoinsrhdlu"  # characters whose counts, modulo 16, bound the edit distance from below
 
 
@@ -97,57 +100,73 @@ def _key(line: Column, at: Column, size: Column, length: Column, i: int) -> Colu
     return F.xxhash64(F.substring(line, at, size), length, F.lit(i))
 
 
-def linked_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``a``, ``b``: ids of distinct lines within ``threshold`` edits, each pair once. ``lines``, a written table as it is read three
-    times, has ``id``, ``line``, ``n`` (its code points, more than ``threshold``) and ``letters`` (``letter_counts``)."""
-    k, n, line = threshold, F.col("n"), F.col("line")
-    index_keys = [_key(line, *_segment(n, i, k), n, i) for i in range(k + 1)]
-    index = lines.select(F.col("id").alias("b"), F.col("letters").alias("letters_b"), F.explode(F.array(*index_keys)).alias("key"))
-    probes = []
-    for shorter in range(k + 1):
-        length = n - shorter
-        for i in range(k + 1):
-            at, size = _segment(length, i, k)
-            for move in range(max(-i, shorter - (k - i)), min(i, shorter + (k - i)) + 1):
-                probes.append(F.struct(_key(line, at + move, size, length, i).alias("key"), F.lit(shorter).alias("shorter")))
-    probe = lines.select(F.col("id").alias("a"), F.col("letters").alias("letters_a"), F.explode(F.array(*probes)).alias("p"))
-    probe = probe.select("a", "letters_a", "p.key", "p.shorter")
+def permitted_edits(length: Column, threshold: int, chars_per_edit: int) -> Column:
+    """Edits within which the shorter line, of ``length``, is a near copy."""
+    return F.least(F.floor(length / chars_per_edit).cast("int"), F.lit(threshold))
+
+
+def linked_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """``a``, ``b``: ids of distinct lines within the edits permitted to the shorter one, each pair once. ``lines``, a written table as
+    it is read three times, has ``id``, ``line``, ``n`` (its code points) and ``letters`` (``letter_counts``)."""
+    n, line = F.col("n"), F.col("line")
+    none = F.expr("cast(array() as array<bigint>)")
+    no_probe = F.expr("cast(array() as array<struct<key:bigint,shorter:int,edits:int>>)")
+    index_keys, probes = none, []
+    for k in range(1, threshold + 1):
+        here = lambda length: permitted_edits(length, threshold, chars_per_edit) == k  # noqa: E731, B023
+        index_keys = F.when(here(n), F.array(*(_key(line, *_segment(n, i, k), n, i) for i in range(k + 1)))).otherwise(index_keys)
+        for shorter in range(k + 1):
+            length, keys = n - shorter, []
+            for i in range(k + 1):
+                at, size = _segment(length, i, k)
+                for move in range(max(-i, shorter - (k - i)), min(i, shorter + (k - i)) + 1):
+                    key = _key(line, at + move, size, length, i).alias("key")
+                    keys.append(F.struct(key, F.lit(shorter).alias("shorter"), F.lit(k).alias("edits")))
+            probes.append(F.when(here(length), F.array(*keys)).otherwise(no_probe))
+    index = lines.select(F.col("id").alias("b"), F.col("letters").alias("letters_b"), F.explode(index_keys).alias("key"))
+    probe = lines.select(F.col("id").alias("a"), F.col("letters").alias("letters_a"), F.explode(F.concat(*probes)).alias("p"))
+    probe = probe.select("a", "letters_a", "p.key", "p.shorter", "p.edits")
     # lines of equal length would meet in both directions; the shorter one is always b
     once = (F.col("shorter") > 0) | (F.col("b") < F.col("a"))
-    close = _counts_differ(F.col("letters_a"), F.col("letters_b")) <= 2 * k
+    close = _counts_differ(F.col("letters_a"), F.col("letters_b")) <= 2 * F.col("edits")
     met = probe.join(index, (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & once & close)
-    pairs = hand_over(met.select("a", "b").distinct(), "line-pairs")
+    pairs = hand_over(met.select("a", "b", "edits").distinct(), "line-pairs")
     release_shuffles(lines.sparkSession)
     texts = lines.select("id", "line")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = hand_over(texts.join(wanted, "id", "left_semi"), "pair-lines")
     first, second = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
     both = pairs.join(first, "a").join(second, "b")
-    return both.filter(within_edits(F.col("line_a"), F.col("line_b"), k)).select("a", "b")
+    near = F.lit(False)
+    for k in range(1, threshold + 1):
+        near = F.when(F.col("edits") == k, within_edits(F.col("line_a"), F.col("line_b"), k)).otherwise(near)
+    return both.filter(near).select("a", "b")
 
 
-def _exploded(documents: DataFrame, min_chars: int, row: str | None) -> DataFrame:
+def _exploded(documents: DataFrame, min_chars: int | None, row: str | None) -> DataFrame:
     """A row per line: document row, ``doc_id``, line number and the line; ``eligible`` if it takes part."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     number = F.col(row) if row else F.monotonically_increasing_id()
     docs = documents.select(number.alias("doc_row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     lines = docs.select("doc_row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.withColumn("eligible", F.length("line") >= min_chars)
+    return lines.withColumn("eligible", (F.length("line") >= (min_chars or 1)) & F.col("line").rlike(r"[^\s]"))
 
 
 def duplicate_lines(
-    documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, row: str | None = None
+    documents: DataFrame, threshold: int = THRESHOLD, min_chars: int | None = None, row: str | None = None
 ) -> DataFrame:
     """Per document: ``doc_id``, ``n_lines``, ``n_removed``, ``removed`` (sorted line numbers from 0 that repeat an earlier line of any
-    document, exactly or within ``threshold`` edits, directly or over other lines), ``n_links`` (other distinct lines within the
-    threshold, summed over its lines) and ``first_docs`` (sorted ids of the documents that keep the removed lines).
+    document, exactly or within the permitted edits, directly or over other lines), ``n_links`` (other distinct lines within those
+    edits, summed over its lines) and ``first_docs`` (sorted ids of the documents that keep the removed lines).
 
     ``documents`` needs ``doc_id`` and ``text``; other columns are ignored. A null text is an empty one: one empty line, which
-    stays. Lines are what line feeds part; those under ``min_chars`` code points stay. Null ids come first; of repeated rows the first
+    stays. Lines are what line feeds part; blank ones stay. Where ``min_chars`` is given, lines under it stay and all others may have
+    ``threshold`` edits. Null ids come first; of repeated rows the first
     read keeps the lines. An empty table gives no rows. ``doc_row`` is the column ``row`` of unique longs where named.
     """
-    if min_chars < 3 * (threshold + 1):
+    if min_chars is not None and min_chars < 3 * (threshold + 1):
         raise ValueError("lines of min_chars must give segments of three characters")
+    chars_per_edit = CHARS_PER_EDIT if min_chars is None else min_chars // max(threshold, 1)
     occurrences = _exploded(documents, min_chars, row)
     hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
     distinct = occurrences.filter("eligible").groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
@@ -159,7 +178,7 @@ def duplicate_lines(
         "lines",
     )
     release_shuffles(documents.sparkSession)
-    links = hand_over(linked_lines(lines.select("id", "line", "n", "letters"), threshold), "line-links")
+    links = hand_over(linked_lines(lines.select("id", "line", "n", "letters"), threshold, chars_per_edit), "line-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     grouped = components(links).join(degree, "id")
     # lines with a copy or a link; the rest of the lines need no class
@@ -189,7 +208,7 @@ def duplicate_lines(
     )
 
 
-def without_duplicate_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_duplicate_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int | None = None) -> DataFrame:
     """``documents``, same columns, without the lines that repeat earlier ones; rows that lose their last word go. ``n_chars``, where
     there is one, is that of the new text."""
     row = "plotyard_row"

@@ -98,3 +98,33 @@ def test_repeated_rows_and_empty_tables(spark):
     got = duplicate_lines(spark.createDataFrame([(1, text)] * 3, "doc_id long, text string")).collect()
     assert sorted(r.n_removed for r in got) == [0, 1, 1]
     assert duplicate_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_lines_with_production_parameters(spark):
+    """Copies go at every length; one edit for every ten code points, at most two; blank lines stay."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdef ") for _ in range(n)).strip() or "x" for n in (1, 2, 3, 5, 8, 9, 10, 11, 12, 15, 19, 20, 21, 22, 30, 39, 40) for _ in range(2)]
+    line = lambda: edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3]))
+    docs = [(i, "\n".join(line() if rng.random() < 0.8 else rng.choice(["", "  ", "\t", " " * 50]) for _ in range(rng.randint(1, 9)))) for i in range(80)]
+    lines = sorted({x for _, t in docs for x in t.split("\n") if x.strip()})
+    label = {x: x for x in lines}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            if a and distance(a, b) <= min(2, min(len(a), len(b)) // 10):
+                label[root(a)] = root(b)
+    seen, want = set(), {}
+    for i, t in docs:
+        want[i] = []
+        for n, x in enumerate(t.split("\n")):
+            if x.strip():
+                if root(x) in seen:
+                    want[i].append(n)
+                seen.add(root(x))
+    got = {r.doc_id: r.removed for r in duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
