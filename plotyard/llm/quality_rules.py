@@ -90,7 +90,7 @@ def measures(documents: DataFrame) -> DataFrame:
         let(words_of(F.col("text")), of_words).alias("w"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"),
         F.when(F.col("text").rlike(SYMBOLS), F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).otherwise(0).cast("long").alias("n_symbols"),
-        F.when(F.col("text").rlike("[A-Z]{2}"), F.length("text") - F.length(F.regexp_replace("text", "[A-Z]", ""))).otherwise(0).alias("capitals"),
+        F.when(F.col("text").rlike("[A-Z]"), F.length("text") - F.length(F.regexp_replace("text", "[A-Z]", ""))).otherwise(0).alias("capitals"),
     )
     n_words, chars = F.col("w.n_words"), F.greatest(F.col("w.word_chars"), F.lit(1))
     failed = (n_words < 20) | (100 * F.col("w.n_repeat_words") > 30 * n_words)

@@ -62,3 +62,10 @@ def test_empty_tables(spark):
     assert judge(docs, labels).collect() == []
     one = spark.createDataFrame([(1, "a " * 30, "en")], "doc_id long, text string, lang string")
     assert judge(one, labels).first().kept is False
+
+
+def test_capitals_that_stand_apart_count(spark):
+    docs = [(1, "B U Y N O W"), (2, "aBaBaB cDcD"), (3, "none here"), (4, "One")]
+    frame = spark.createDataFrame([(i, t, None, 1, "q") for i, t in docs], "doc_id long, text string, lang string, n_words int, stratum string")
+    got = {r.doc_id: r.capital_ratio for r in measures(frame).collect()}
+    assert got == {1: 1.0, 2: 0.5, 3: 0.0, 4: 1 / 3}
