@@ -25,7 +25,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?+)(?![A-Za-z0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
-SECRET = r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,128}+(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+(?![A-Za-z0-9])"
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kind: pattern, score of a proposed span, of a confirmed one in addition, of context in addition, context words.

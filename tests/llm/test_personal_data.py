@@ -63,3 +63,9 @@ def test_validators_and_context_add_spans(spark):
 def test_an_empty_table(spark):
     assert find_personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert BASE_KINDS == tuple(PLAIN)
+
+
+def test_long_secrets_are_found_whole(spark):
+    docs = [(n, "api key: " + "0a1B" * (n // 4) + ".") for n in (24, 128, 132, 256, 4096)]
+    got = find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.added] for r in got} == {n: [("secret", 9, 9 + n)] for n, _ in docs}
