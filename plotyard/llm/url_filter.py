@@ -7,12 +7,14 @@ exceeds its trust by ``THRESHOLD``; hosts that neither reaches are allowed.
 
 Edges are links between hosts, weighted by the linking pages of the host, and the tie between a host and its parent
 domain where both have pages (``www.a.org`` and ``a.org``). They are aggregated before any join, so no host's pages meet
-in a task. Ranks are written to the shared folder every ``ROUNDS_PER_WRITE`` rounds.
+in a task. Ranks are written to the shared folder every ``ROUNDS_PER_WRITE`` rounds,
+until they change by less than ``TOLERANCE`` from one write to the next.
 """
 
 from __future__ import annotations
 
 import string
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from plotyard.session import hand_over
 
 DAMPING, ROUNDS, ROUNDS_PER_WRITE = 0.85, 20, 5
-TOLERANCE = 1e-6  # summed change of ranks between writes at which the rounds end early
+TOLERANCE = 1e-6  # summed change of ranks between writes at which the rounds end, after about 90 at worst
 THRESHOLD = 0.0
 MAX_RULES = 1_000
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//[^\s"'<>]+"""
@@ -65,10 +67,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
     """``host``, ``trust``, ``distrust``: personalised PageRank of ``seeds`` (``host``, ``trust``, ``distrust``, weights at least 0)
     along ``edges``, and against them. Rank of hosts without outgoing edges returns to the seeds. Hosts that nothing
-    reaches are absent."""
+    reaches are absent. Ends after ``rounds`` at most; with None only when the ranks are settled to ``TOLERANCE``."""
     forth = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight")
     back = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     graph = forth.unionByName(back)
@@ -79,7 +81,7 @@ def spread_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
     whole = kinds.groupBy("kind").agg(F.sum("weight").alias("whole"))  # two rows
     seed = hand_over(kinds.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("weight") / F.col("whole")).alias("seed")), "host-seeds")
     ranks = written = seed.withColumnRenamed("seed", "rank")
-    for done in range(1, rounds + 1):
+    for done in count(1):
         moved = graph.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"])
         moved = moved.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("into"))
         given = moved.groupBy("kind").agg(F.sum("into").alias("given"))  # two rows
@@ -90,7 +92,7 @@ def spread_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
             ranks = hand_over(ranks, "host-ranks")
             before = written.withColumnRenamed("rank", "before")
             change = ranks.join(before, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))))
-            if (change.first()[0] or 0.0) < TOLERANCE:
+            if (change.first()[0] or 0.0) < TOLERANCE or done == rounds:
                 break
             written = ranks
     score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
@@ -109,7 +111,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], threshold: float
     seeds = judged.filter("fit IS NOT NULL AND host <> ''").groupBy("host").agg(
         by_rule("allow").alias("trust"), by_rule("block").alias("distrust")
     )
-    scores = spread_scores(host_edges(parsed), seeds)
+    scores = spread_scores(host_edges(parsed), seeds, rounds=None)
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     verdict = F.coalesce("fit.action", F.when(distrust - trust > threshold, "block").otherwise("allow"))
     return judged.drop("html").join(scores, "host", "left").select(

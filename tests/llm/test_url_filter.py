@@ -51,3 +51,13 @@ def test_links_decide_where_no_rule_does(spark):
 
 def test_an_empty_table(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), RULES).collect() == []
+
+
+def test_a_long_chain_to_a_blocked_seed(spark):
+    link = '<a href="http://h{}.net/p">x</a>'
+    pages = [(i, f"http://h{i}.net/", link.format(i + 1)) for i in range(29)] + [(29, "http://h29.net/", '<a href="http://bad.com/">x</a>'), (30, "http://bad.com/de/1", "")]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    assert {r.verdict for r in got.values()} == {"block"}
+    # one chain: a rank is the damped one of the next host
+    assert all(abs(got[i].distrust - 0.85 * got[i + 1].distrust) < 1e-5 for i in range(30))
+    assert abs(sum(r.distrust for r in got.values()) - 1) < 1e-5
