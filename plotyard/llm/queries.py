@@ -17,6 +17,7 @@ from plotyard.llm.shingle_join import near_duplicates
 from plotyard.llm.substring_dedup import remove_repeats
 from plotyard.llm.tokenstore import read_store, write_store
 from plotyard.llm.url_filter import filter_urls
+from plotyard.llm.whitening import whiten_embeddings
 from plotyard.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +114,8 @@ def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_embeddings(table(spark, sf_dir, "embeddings"))
