@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotyard.llm.decontaminate import contamination
 from plotyard.llm.line_dedup import duplicate_lines
+from plotyard.llm.merkle import manifest_proofs
 from plotyard.llm.packing import pack_documents
 from plotyard.llm.personal_data import BASE_KINDS, as_text, find_personal_data
 from plotyard.llm.quality_classifier import THRESHOLD, score_quality
@@ -18,6 +20,7 @@ from plotyard.llm.substring_dedup import remove_repeats
 from plotyard.llm.tokenstore import read_store, write_store
 from plotyard.llm.url_filter import filter_urls
 from plotyard.llm.whitening import whiten_embeddings
+from plotyard.llm.word_repeats import remove_word_repeats
 from plotyard.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +122,20 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_embedding_whitening")
 def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def tampered(row: Column) -> dict[str, Column]:
+    """Texts as given, but in lower case (A-Z) where 5 divides the checksum of the id."""
+    chosen = F.pmod(F.crc32(row["doc_id"].cast("string")), F.lit(5)) == 0
+    return {"text": F.when(chosen, F.translate(row["text"], ascii_uppercase, ascii_lowercase)).otherwise(row["text"])}
+
+
+@query("op13_merkle_manifest")
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_proofs(table(spark, sf_dir, "documents"), tampered)
+
+
+@query("op12_word_repeats")
+def word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_word_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
