@@ -70,7 +70,15 @@ def hand_over(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and return a reader of it."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.handed_over = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``hand_over`` wrote, once what reads them last is written too."""
+    for table in tables:
+        remove_path(table.sparkSession, table.handed_over)
 
 
 def release_shuffles(spark: SparkSession) -> None:
