@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotyard.session import hand_over, release_shuffles
+from plotyard.session import discard, hand_over, release_shuffles
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node and its neighbours, then the label of that label, so labels travel
     twice as far every round. Rounds end when nothing changes; each one's labels are a written table. Every edge is kept
     once and meets the labels of its ends; minima are aggregated map-side, so a node with very many neighbours is no task
-    of its own.
+    of its own. The result reads a written table, which ``discard`` removes.
     """
     once = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     once = hand_over(once, "edges")
@@ -27,9 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
         near = of_a.unionByName(of_b).groupBy("id").agg(F.min("component").alias("near"))
         least = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("next"))
         up = labels.select(F.col("id").alias("next"), F.col("component").alias("up"))
-        moved = hand_over(least.join(up, "next").select("id", "old", F.least("next", "up").alias("component")), "labels")
+        moved = hand_over(least.join(up, "next").select("id", F.least("next", "up").alias("component"), "old"), "labels")
         changed = moved.filter("component <> old").limit(1).count()
-        labels = moved.select("id", "component")
+        discard(labels)
+        labels = moved
         release_shuffles(edges.sparkSession)
         if not changed:
-            return labels
+            discard(once)
+            found = labels.select("id", "component")
+            found.handed_over = labels.handed_over
+            return found

@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotyard.llm.columns import unused_names, with_row_ids
 from plotyard.llm.components import components
-from plotyard.session import hand_over, release_shuffles
+from plotyard.session import discard, hand_over, release_shuffles
 
 WORDS = 5
 TREES, DEPTH, TARGET_RECALL = 40, 8, 0.9999
@@ -98,8 +99,8 @@ def _sign(words: int, trees: int, depth: int):
                 seconds.append(int.from_bytes(raw[8:], "little", signed=True))
                 nodes.append(forest.nodes(found) if len(found) else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "size", "h1", "h2", "nodes"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), batch.column(3)],
+                names=["doc_id", "text_hash", "size", "h1", "h2", "nodes", "row"],
             )
 
     return run
@@ -179,35 +180,32 @@ def _verify(numerator: int, denominator: int):
     return run
 
 
-def near_duplicates(documents: DataFrame, numerator: int = 4, denominator: int = 5, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``class_id`` (smallest ``doc_id`` of the documents connected by links) and ``n_links`` (other documents whose
-    similarity is at least numerator / denominator), a row per document.
-
-    ``documents`` needs ``doc_id`` and ``text``; other columns are ignored. A null text is an empty one; texts without words are
-    linked to nothing and have their own id as class. Copies count as links but are never paired. Null ids are no class
-    id unless nothing else is there. An empty table gives no rows.
-    """
-    spark = documents.sparkSession
+def _classified(keyed: DataFrame, numerator: int, denominator: int, words: int) -> DataFrame:
+    """``row``, ``doc_id``, ``class`` (a number, null for texts without words), ``class_id`` and ``n_links`` of ``row``, ``doc_id`` and ``text``; a written table."""
+    spark = keyed.sparkSession
     depth = prefix_depth(numerator / denominator)
-    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    signed = keyed.mapInArrow(_sign(words, TREES, depth), "doc_id long, text_hash long, size int, h1 long, h2 long, nodes array<long>")
-    signed = hand_over(signed, "signatures")
+    keyed = keyed.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    schema = "doc_id long, text_hash long, size int, h1 long, h2 long, nodes array<long>"
+    row_type = keyed.schema["row"].dataType.simpleString()
+    signed = hand_over(keyed.select("doc_id", "text_hash", "text", "row").mapInArrow(_sign(words, TREES, depth), f"{schema}, row {row_type}"), "signatures")
     chosen = F.min(F.struct("doc_id", "text_hash", "nodes"))
     reps = signed.filter("size > 0").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"), chosen.alias("one"))
     reps = hand_over(
         reps.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "copies", "first_doc", "one.doc_id", "one.text_hash", "one.nodes"), "representatives"
     )
+    sizes = hand_over(signed.select("row", "doc_id", "size", "h1", "h2"), "set-sizes")  # the rest of the signatures is not needed any more
     release_shuffles(spark)
+    discard(signed)
     lies = reps.select("rep", F.explode("nodes").alias("node"))
     shared = lies.groupBy("node").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", "lead")
     groups = components(lies.join(shared, "node").filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
-    placed = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
+    placed = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     cand = hand_over(
         placed.join(reps, placed["id"] == reps["rep"]).select("rep", "component", "block", "n_blocks", "copies", "nodes", F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")), "candidates"
     )
     release_shuffles(spark)
+    discard(groups)
     texts = keyed.join(cand, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")))
     texts = texts.select("rep", "component", "block", "n_blocks", "copies", "nodes", "text")
     with_sets = texts.mapInArrow(_sets(words), "rep long, component long, block int, n_blocks int, copies long, nodes array<long>, shingles binary")
@@ -218,28 +216,48 @@ def near_duplicates(documents: DataFrame, numerator: int = 4, denominator: int =
     found = spread.groupBy("component", "first_block", "second_block").applyInPandas(_verify(numerator, denominator), "rep long, other long, links long")
     found = hand_over(found, "links")
     release_shuffles(spark)
+    discard(cand)
     classes = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     judged = reps.select("rep", "h1", "h2", "copies", "first_doc").join(classes.withColumnRenamed("id", "rep"), "rep", "left").join(counts, "rep", "left")
     judged = judged.withColumn("class", F.coalesce("component", "rep"))
-    named = judged.groupBy("class").agg(F.min("first_doc").alias("class_id"))
-    judged = judged.join(named, "class").select("h1", "h2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = signed.select("doc_id", "size", "h1", "h2").join(judged, ["h1", "h2"], "left")
+    named = hand_over(judged.groupBy("class").agg(F.min("first_doc").alias("class_id")), "class-names")
+    judged = judged.join(named, "class").select("h1", "h2", "class", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = sizes.join(judged, ["h1", "h2"], "left")
     alone = F.col("size") == 0
-    return joined.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links")
-    )
+    joined = joined.select(
+        "row", "doc_id", "class", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+    )
+    joined = hand_over(joined, "classified")
+    release_shuffles(spark)
+    discard(reps, sizes, found, classes, named)
+    return joined
+
 
+def near_duplicates(documents: DataFrame, numerator: int = 4, denominator: int = 5, words: int = WORDS) -> DataFrame:
+    """``doc_id``, ``class_id`` (smallest ``doc_id`` of the documents connected by links) and ``n_links`` (other documents whose
+    similarity is at least numerator / denominator), a row per document.
 
-def one_per_class(documents: DataFrame, numerator: int = 4, denominator: int = 5, words: int = WORDS) -> DataFrame:
-    """``documents``, same columns, with one row of each class of near duplicates: that of the smallest ``doc_id``, of equal ones the
-    first read. Texts without words all stay."""
-    row = "plotyard_row"
-    numbered = hand_over(documents.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
-    classes = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), numerator, denominator, words)
-    classes = classes.select(F.col("doc_id").alias(row), F.col("class_id").alias("plotyard_class"))
-    named = numbered.select(row, F.col("doc_id").cast("long").alias("plotyard_doc")).join(classes, row)
-    stays = named.groupBy("plotyard_class").agg(F.min(F.struct("plotyard_doc", row)).alias("first")).select(f"first.{row}")
+    ``documents`` needs ``doc_id`` and ``text``; other columns are ignored. A null text is an empty one; texts without words are
+    linked to nothing and have their own id as class. Copies count as links but are never paired. Null ids are no class
+    id unless nothing else is there. An empty table gives no rows.
+    """
+    keyed = documents.select(F.lit(0).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return _classified(keyed, numerator, denominator, words).select("doc_id", "class_id", "n_links")
+
+
+def one_per_class(documents: DataFrame, numerator: int = 4, denominator: int = 5, words: int = WORDS, plain_reader: bool = False) -> DataFrame:
+    """``documents``, same columns, with one row of each class of near duplicates: that of the smallest ``doc_id`` (a null one is the
+    smallest), of equal ones any. Texts without words, null ones too, all stay. An empty table gives an empty one. Columns of any name
+    come through. A ``plain_reader`` of files is read again, anything else is first written."""
+    (row,) = unused_names(documents, 1)
+    numbered = with_row_ids(documents, row, plain_reader)
+    keyed = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    classified = _classified(keyed, numerator, denominator, words)
+    first = classified.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    stays = classified.filter("class IS NULL").select(F.col("row").alias(row)).unionByName(first.select(F.col("first.row").alias(row)))
     stays = hand_over(stays, "first-of-class")
     release_shuffles(documents.sparkSession)
+    discard(classified)
     return numbered.join(stays, row, "left_semi").select(*documents.columns)

@@ -8,7 +8,7 @@ equals), so equal windows have equal anchors and a text of n words has about n /
    meet again, each with the smallest ``doc_id`` that holds them. A window is a repeat where that id is smaller than the own.
 3. Repeats that overlap or touch are joined: the spans left are maximal, and at least ``window`` words long.
 
-Documents are worked on in slices of a few MB. A slice sends every anchor and every extended window once, with the smallest id of
+Documents are worked on in slices of about 2 MB. A slice sends every anchor and every extended window once, with the smallest id of
 its documents, in one block per range of hashes; a range answers with one bit for each. So copies within a slice meet
 nobody, an anchor that every document holds is one entry per slice, no pairs are formed, and answers are small. Words, anchors and
 windows are compared by 64-bit hashes, windows only among those with the same anchor.
@@ -30,7 +30,7 @@ from plotyard.session import hand_over, release_shuffles
 
 WINDOW = 13
 GRAM = 4
-SLICE_BYTES = 4 << 20  # texts worked on at once; a longer text is a slice of its own
+SLICE_BYTES = 2 << 20  # texts worked on at once; a longer text is a slice of its own
 RANGE_BYTES = 32 << 20  # bytes of text for each range of hashes
 STEP = 1 << 19  # windows whose anchors are found at once; a window is never cut
 NULL_ID = np.iinfo(np.int64).min  # a null doc_id comes before all others
@@ -47,7 +47,7 @@ RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:lo
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse, modulo 2**64."""
     if n > max(_POWERS, default=0):
-        size = max(1 << (n - 1).bit_length(), SLICE_BYTES + (1 << 16))
+        size = max(n, SLICE_BYTES + (1 << 16))
         up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
         _POWERS.clear()

@@ -2,9 +2,11 @@ import random
 from collections import defaultdict
 
 import pyspark.sql.functions as F
+import pytest
 
+from plotyard.llm import line_dedup
 from plotyard.llm.components import components
-from plotyard.llm.line_dedup import duplicate_lines, within_edits
+from plotyard.llm.line_dedup import duplicate_lines, within_edits, without_duplicate_lines
 
 
 def distance(a, b):
@@ -82,11 +84,15 @@ def brute(docs, k=2, min_chars=12):
     return out
 
 
-def test_documents_match_brute_force(spark):
+@pytest.mark.parametrize("block", [line_dedup.BLOCK, 2])  # pairs as rows; blocks of lines with a segment in common
+def test_documents_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(8)
     base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(12, 40))) for _ in range(25)]
     line = lambda: edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 5]))
     docs = [(i, "\n".join(line() if rng.random() < 0.8 else rng.choice(["", "short", "\t"]) for _ in range(rng.randint(0, 9)))) for i in range(70)]
+    long = "".join(rng.choice("abcde ") for _ in range(200))
+    docs += [(600 + i, edited(rng, long, i % 6)) for i in range(14)]
     docs += [(500, None), (501, ""), (502, "\n\n"), (None, base[0] + "\n" + base[0]), (503, ("x" * 3000 + "\n") * 50)]
     frame = spark.createDataFrame([(i, t, 1, "q") for i, t in docs], "doc_id long, text string, line_no int, line string").repartition(4)
     got = duplicate_lines(frame, min_chars=12).collect()
@@ -128,3 +134,14 @@ def test_short_lines_with_production_parameters(spark):
                 seen.add(root(x))
     got = {r.doc_id: r.removed for r in duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
     assert got == want
+
+
+def test_the_filter_keeps_its_columns_and_odd_rows(spark):
+    line = "a line that is long enough to take part in this"
+    rows = [(1, line, "x", 5), (2, line + "\nother words here", "x", 6), (None, line, None, None), (3, None, "x", 0), (4, "", "x", 0), (5, "  ", "x", 2), (2, line + "\nother words here", "x", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, plotyard_0 string, n_chars int")
+    got = without_duplicate_lines(df)
+    assert got.columns == df.columns
+    kept = sorted(map(tuple, got.collect()), key=str)
+    assert kept == sorted([(None, line, None, None), (2, "other words here", "x", 16), (3, None, "x", 0), (4, "", "x", 0), (5, "  ", "x", 2)], key=str)
+    assert without_duplicate_lines(df.limit(0)).collect() == []
