@@ -13,7 +13,7 @@ from plotyard.llm.line_dedup import without_duplicate_lines
 from plotyard.llm.packing import pack_documents
 from plotyard.llm.quality_classifier import keep_quality
 from plotyard.llm.shingle_join import one_per_class
-from plotyard.session import hand_over, release_shuffles
+from plotyard.session import discard, hand_over, release_shuffles
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +23,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones, exactly or within two edits."""
-    return without_duplicate_lines(docs)
+    return without_duplicate_lines(docs, plain_reader=True)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return one_per_class(docs)
+    return one_per_class(docs, plain_reader=True)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,10 @@ ORACLE_SQL = None  # the first stage is a fitted model
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, given = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = hand_over(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         release_shuffles(spark)
+        discard(*given)
+        given = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
