@@ -225,5 +225,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``documents`` without the contaminated ones; the others keep every word."""
+    """``documents``, same columns, without the contaminated ones; the others keep every word. Null and blank texts stay; repeated rows stay or
+    go together, whatever their ids. An empty table gives an empty one, an empty benchmark all documents."""
     return contamination(documents, benchmark, window).filter("NOT contaminated").select("row.*")

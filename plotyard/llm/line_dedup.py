@@ -115,14 +115,14 @@ def permitted_edits(length: Column, threshold: int, chars_per_edit: int) -> Colu
 
 def _index_and_probes(lines: DataFrame, threshold: int, chars_per_edit: int) -> tuple[DataFrame, DataFrame]:
     """``key`` and ``code`` of segments and of probes. A segment's code is its line's id and its number, a probe's the id and whether it looks
-    for lines of its own length."""
+    for lines of its own length. Where these have the segment in the same place, the segments meet by themselves and need no probe."""
     n, line = F.col("n"), F.col("line")
     none = F.expr("cast(array() as array<bigint>)")
     segments, probes, own_length = none, [], F.lit(0)
     for k in range(1, threshold + 1):
         here = lambda length: permitted_edits(length, threshold, chars_per_edit) == k  # noqa: E731, B023
         segments = F.when(here(n), F.array(*(_key(line, *_segment(n, i, k), n, i) for i in range(k + 1)))).otherwise(segments)
-        own_length = F.when(here(n), sum(len(_moves(i, 0, k)) for i in range(k + 1))).otherwise(own_length)
+        own_length = F.when(here(n), sum(len(_moves(i, 0, k)) - 1 for i in range(k + 1))).otherwise(own_length)
     for shorter in range(threshold + 1):
         keys = none
         for k in range(max(shorter, 1), threshold + 1):
@@ -130,8 +130,9 @@ def _index_and_probes(lines: DataFrame, threshold: int, chars_per_edit: int) ->
             found = []
             for i in range(k + 1):
                 at, size = _segment(length, i, k)
-                found += [_key(line, at + move, size, length, i) for move in _moves(i, shorter, k)]
-            keys = F.when(permitted_edits(length, threshold, chars_per_edit) == k, F.array(*found)).otherwise(keys)
+                found += [_key(line, at + move, size, length, i) for move in _moves(i, shorter, k) if shorter or move]
+            if found:
+                keys = F.when(permitted_edits(length, threshold, chars_per_edit) == k, F.array(*found)).otherwise(keys)
         probes.append(keys)
     index = lines.select("id", F.posexplode(segments).alias("i", "key"))
     index = index.select("key", (F.col("id") * (threshold + 1) + F.col("i")).alias("code"))
@@ -228,13 +229,17 @@ def linked_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: i
     a, b = F.expr("probing div 2"), F.expr(f"indexed div {threshold + 1}")
     owner = F.expr(f"code div {threshold + 1}")
     held = index.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min(owner).alias("low"), F.max(owner).alias("high"))
-    # probes that meet another line: a row each, however many lines they meet
-    probes = probe.withColumnRenamed("code", "probing").join(held, "key").filter((F.col("low") != a) | (F.col("high") != a))
-    probes = hand_over(probes.select("key", "probing", (F.col("lines") > BLOCK).alias("common")), "met-probes")
+    # probes that meet another line, a row each, however many lines they meet, and segments that several lines have in the same place
+    found = held.join(probe.withColumnRenamed("code", "probing"), "key", "left").withColumn("shared", F.col("low") != F.col("high"))
+    found = found.filter(F.col("shared") | (F.col("low") != a)).select("key", "probing", (F.col("lines") > BLOCK).alias("common"), "shared")
+    found = hand_over(found, "met-probes")
     release_shuffles(spark)
-    keys = hand_over(probes.select("key", "common").distinct(), "met-segments")
+    keys = hand_over(found.select("key", "common", "shared").distinct(), "met-segments")
     segments = hand_over(index.withColumnRenamed("code", "indexed").join(keys, "key"), "met-index")
     release_shuffles(spark)
+    probes = found.filter("probing IS NOT NULL").select("key", "probing", "common")
+    probes = probes.unionByName(segments.filter("shared").select("key", (b * 2 + 1).alias("probing"), "common"))
+    segments_of = segments.drop("shared")
     wanted = probes.select(a.alias("id")).unionByName(segments.select(b.alias("id"))).distinct()
     texts = lines.join(wanted, "id", "left_semi").select("id", "line", "n", letter_counts(F.col("line")).alias("letters"))
     texts = hand_over(texts, "met-texts")
@@ -242,7 +247,7 @@ def linked_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: i
     letters = lambda rows, line, side: rows.filter(~F.col("common")).drop("common").withColumn("id", line).join(
         texts.select("id", F.col("letters").alias(f"letters_{side}")), "id"
     )
-    met = letters(probes, a, "a").drop("id").join(letters(segments, b, "b").drop("id"), "key")
+    met = letters(probes, a, "a").drop("id").join(letters(segments_of, b, "b").drop("id"), "key")
     once = (a != b) & ((F.pmod("probing", F.lit(2)) == 0) | (b < a))
     met = met.filter(once & (_counts_differ(F.col("letters_a"), F.col("letters_b")) <= 2 * threshold))
     met = hand_over(met.select("probing", "indexed").distinct(), "met-lines")
@@ -264,7 +269,7 @@ def linked_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: i
     links = pairs.select("id", "other", one).unionByName(pairs.select(F.col("other").alias("id"), "other", one)).unionByName(blocks)
     links = hand_over(links, "line-links")
     release_shuffles(spark)
-    discard(probes, keys, segments, met, texts, pairs)
+    discard(found, keys, segments, met, texts, pairs)
     return links
 
 
@@ -307,8 +312,9 @@ def duplicate_lines(
     degree = links.groupBy("id").agg(F.sum("n").alias("links"))
     classes = components(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
     # lines with a copy or a link; the rest of the lines need no class
-    known = lines.join(classes.join(degree, "id"), "id", "left").filter("copies > 1 OR links IS NOT NULL")
-    known = known.select(*_hashes(F.col("line")), F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    hashed = lines.select("id", "copies", *_hashes(F.col("line")))
+    known = hashed.join(classes.join(degree, "id"), "id", "left").filter("copies > 1 OR links IS NOT NULL")
+    known = known.select("h1", "h2", F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     known = hand_over(known, "line-classes")
     release_shuffles(spark)
     discard(lines, links, classes)

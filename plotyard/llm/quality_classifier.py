@@ -203,7 +203,8 @@ def learning_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``documents``, all columns, whose text scores at least ``threshold``."""
+    """The rows of ``documents``, all columns of any name, whose text scores at least ``threshold``. Every row is judged by its own text, so repeated
+    rows stay or go together; a null text is an empty one, a null id never has a label. An empty table gives an empty one."""
     model = fit(learning_rows(documents, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,7 +34,7 @@ from plotyard.session import remove_path, scratch_path
 MAGIC = b"PTK1"
 END_ID = 1
 SAMPLE_DOCUMENTS = 2_000  # documents whose ids train the dictionary, by the smallest hash of their id
-SAMPLE_BYTES = 2_048  # serialized ids of each of them that are shown to the trainer
+SAMPLE_BYTES = 2_048  # serialized ids of each of them that are shown to the trainer, from anywhere in its text
 DICTIONARY_BYTES = 65_536
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
@@ -79,22 +80,32 @@ class BlockReader:
         return np.frombuffer(self.decompressor.decompress(frame), self.dtype)
 
 
+def sample_piece(ids: bytes, width: int, key: int) -> bytes:
+    """At most ``SAMPLE_BYTES`` of serialized ids, from a place in the whole that a hash chooses."""
+    places = len(ids) - SAMPLE_BYTES
+    if places <= 0:
+        return ids
+    start = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True)) % (places // width + 1) * width
+    return ids[start : start + SAMPLE_BYTES]
+
+
 def train_dictionary(
     documents: DataFrame, tokenizer_path: str | None = None, sample_documents: int = SAMPLE_DOCUMENTS
 ) -> bytes:
-    """Dictionary from at most ``sample_documents`` documents and ``SAMPLE_BYTES`` of each; empty where they are too
-    few to train on. Only compression depends on it, never what is read back."""
+    """Dictionary from a piece of the ids of at most ``sample_documents`` documents, anywhere in their whole texts; empty where they
+    are too few to train on. Only compression depends on it, never what is read back."""
     by_hash = documents.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = [r.doc_id for r in by_hash.limit(sample_documents).collect()]
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer_path or default_tokenizer())
+        width = np.dtype(words.dtype).itemsize
         for batch in batches:
-            # a prefix is enough here: this only shows the trainer what ids look like
-            heads = [words.encode((x.as_py() or "")[: 4 * SAMPLE_BYTES]).tobytes()[:SAMPLE_BYTES] for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary())], names=["ids"])
+            whole = (words.encode(x.as_py() or "").tobytes() for x in batch.column(1))
+            pieces = [sample_piece(ids, width, key) for ids, key in zip(whole, batch.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], names=["ids"])
 
-    sample = documents.filter(F.col("doc_id").isin(chosen)).select("text").mapInArrow(serialize, "ids binary")
+    sample = documents.filter(F.col("doc_id").isin(chosen)).select("doc_id", "text").mapInArrow(serialize, "ids binary")
     samples = [bytes(r.ids) for r in sample.limit(sample_documents).collect() if len(r.ids) >= 16]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes() if len(samples) >= 50 else b""

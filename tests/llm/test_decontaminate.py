@@ -79,3 +79,16 @@ def test_documents_match_brute_force(spark, monkeypatch):
 
 def test_touching_spans_become_one():
     assert merge_spans(np.array([0, 3, 9]), np.array([3, 5, 10])) == ([0, 9], [5, 10])
+
+
+def test_the_filter_keeps_rows_as_they_are(spark):
+    passage = " ".join(f"bench{i}" for i in range(15))
+    rows = [(1, passage, "a", 1), (1, passage, "a", 1), (None, passage, None, 2), (2, "clean text", "b", 3), (2, "clean text", "b", 3), (3, None, "c", 4), (4, " ", "d", 5),
+            (5, passage + " filler" * 400, "e", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_words int")
+    items = spark.createDataFrame([(10, passage), (None, "clean text"), (11, None)], "item_id long, text string")
+    got = drop_contaminated(df, items.limit(1))
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows[3:], key=str)
+    assert sorted(map(tuple, drop_contaminated(df, items).collect()), key=str) == sorted(rows[5:], key=str)  # an item without an id counts too
+    assert drop_contaminated(df.limit(0), items).collect() == []
+    assert drop_contaminated(df, items.limit(0)).count() == len(rows)

@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from plotyard.llm.quality_classifier import WIDTH, featurize, score_quality, text_features
+from plotyard.llm.quality_classifier import WIDTH, featurize, keep_quality, score_quality, text_features
 
 
 def _tables(spark, n=1500):
@@ -47,3 +48,17 @@ def test_odd_rows_and_empty_tables(spark):
     assert score_quality(docs.limit(0), labels).collect() == []
     assert featurize(docs.limit(0)).count() == 0
     assert text_features("a b").shape == (WIDTH,) and np.isfinite(text_features("😀\n" * 9)).all()
+
+
+def test_the_filter_keeps_rows_as_they_are(spark):
+    rows, labels, docs, given = _tables(spark, 600)
+    odd = docs.select("doc_id", "text", F.lit(1).alias("score"), F.lit("x").alias("features"), F.lit(True).alias("held_out"))
+    odd = odd.unionByName(odd.filter("doc_id = 7")).unionByName(odd.filter("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.unionByName(odd.filter("doc_id = 9").withColumn("text", F.lit(None).cast("string")))
+    kept = keep_quality(odd, given)
+    assert kept.columns == odd.columns
+    scores = {r.doc_id: r.score for r in score_quality(docs, given).collect()}
+    found = [r.doc_id for r in kept.filter("text IS NOT NULL").collect()]
+    assert found.count(7) == 2 and (found.count(None) == 1) == (scores[5] >= 0.3)
+    assert {i for i in found if i is not None} == {i for i, s in scores.items() if s >= 0.3}
+    assert keep_quality(odd.limit(0), given).collect() == []

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from plotyard.llm import shingle_join
-from plotyard.llm.shingle_join import Forest, near_duplicates, prefix_depth, shingles, similar_pairs
+from plotyard.llm.shingle_join import Forest, near_duplicates, one_per_class, prefix_depth, shingles, similar_pairs
 
 
 def sets_of(text):
@@ -82,3 +82,15 @@ def test_both_ways_of_verifying_agree(monkeypatch):
     packed = similar_pairs(sets, sets, pairs, 2, 5)
     monkeypatch.setattr(shingle_join, "PACKED_BYTES", 0)
     assert np.array_equal(packed, similar_pairs(sets, sets, pairs, 2, 5)) and len(packed) > 41
+
+
+def test_one_row_of_each_class_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:-1] + ["other"])
+    rows = [(5, " ".join(words), "a", "x"), (3, near, "b", "y"), (3, near, "b", "y"), (None, near, None, None), (8, None, "c", "z"), (8, None, "c", "z"), (9, " ", "d", "z"), (1, "alone here", "e", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, plotyard_0 string, class string")
+    got = one_per_class(df)
+    assert got.columns == df.columns
+    want = [(None, near, None, None), (8, None, "c", "z"), (8, None, "c", "z"), (9, " ", "d", "z"), (1, "alone here", "e", "z")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert one_per_class(df.limit(0)).collect() == []

@@ -3,7 +3,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from plotyard.llm.tokens import default_tokenizer
-from plotyard.llm.tokenstore import BlockReader, dictionary_hash, read_store, write_block, write_store
+from plotyard.llm.tokenstore import SAMPLE_BYTES, BlockReader, dictionary_hash, read_store, sample_piece, write_block, write_store
 from plotyard.session import scratch_path
 
 TEXTS = [None, "", "one", "The cat, the dog.", "long " * 30000, "same", "same"]
@@ -39,3 +39,16 @@ def test_a_block_of_another_dictionary_is_refused():
     block = write_block([], [], 2, dictionary_hash(b"a"))
     with pytest.raises(ValueError):
         BlockReader(block, b"b")
+
+
+def test_the_dictionary_sees_whole_texts():
+    ids = np.arange(50_000, dtype="<u2").tobytes()
+    starts = set()
+    for key in range(-200, 200):
+        piece = sample_piece(ids, 2, key)
+        assert len(piece) == SAMPLE_BYTES
+        numbers = np.frombuffer(piece, "<u2")
+        assert (np.diff(numbers) == 1).all()  # whole ids, in order
+        starts.add(int(numbers[0]))
+    assert len(starts) > 350 and min(starts) < 1_000 and max(starts) > 47_000
+    assert sample_piece(ids[:100], 2, 5) == ids[:100] and sample_piece(b"", 2, 5) == b""
