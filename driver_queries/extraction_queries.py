@@ -12,6 +12,7 @@ from plotyard.operators import joins, sampling, structural
 from plotyard.operators.extraction import evaluate, merge, queue, run, verify
 from plotyard.operators.extraction.fields import CHECKPOINT_SCHEMA, FIELDS
 from plotyard.session import scratch_path
+from plotyard.sources import io
 from plotyard.sources.io import read_checkpoint, union_by_name
 
 # --- I: structural nulls -------------------------------------------------------------------
@@ -107,6 +108,44 @@ def _(spark, sf):
     return structural.model_ready(_base(spark, sf), spark.sql(ROOMS))
 
 
+_CATEGORIES = ", ".join(f"({c}, '{t}', '{b}')" for c, t, b in fv.CATEGORY_ROWS)
+_PREPARED_SQL = (
+    f"WITH l0 AS MATERIALIZED ({T.LISTINGS}), l AS (SELECT l0.* REPLACE (c.estate_type AS estate_type, c.estate_benefit AS estate_benefit, "
+    f"CASE WHEN street_width > 0 THEN street_width END AS street_width) FROM l0 LEFT JOIN (VALUES {_CATEGORIES}) AS c(category, estate_type, "
+    f"estate_benefit) USING (category)), {_ZERO_SQL}, {_EXTEND_SQL}, p AS (SELECT l.estate_benefit, l.area, l.price, x.* REPLACE (CASE WHEN "
+    "x.estate_type = 'warehouse' THEN coalesce(x.beds, 0) ELSE x.beds END AS beds, CASE WHEN x.estate_type = 'campsite' THEN "
+    "coalesce(x.street_width, 0) ELSE x.street_width END AS street_width) FROM x JOIN l USING (id))"
+)
+
+
+@query(
+    "P1_prepared_tables",
+    f"{_PREPARED_SQL} SELECT estate_benefit AS purpose, estate_type, count(*) AS listings, sum(beds)::BIGINT AS bedrooms, sum(livings)::BIGINT AS "
+    "living_rooms, sum((furnished = 1)::INT)::BIGINT AS furnished, round(sum(street_width), 3) AS street_width, sum(age)::BIGINT AS age FROM p WHERE "
+    "livings IS NOT NULL AND wc IS NOT NULL AND estate_type IS NOT NULL AND area IS NOT NULL AND beds IS NOT NULL AND street_width IS NOT NULL AND "
+    "age IS NOT NULL AND furnished IS NOT NULL GROUP BY ALL",
+)
+def _(spark, sf):
+    from plotyard.plans import preparation
+
+    folder, raw = scratch_path(spark, "prepared"), T.listings(spark, sf).drop("estate_type", "estate_benefit", *fv.AMENITY_FLAGS)
+    raw = raw.withColumnsRenamed({"lat": "location.lat", "lng": "location.lng"}).withColumn("uri", F.lit("x"))
+    early, late = F.col("id") % 2 == 0, F.col("id") % 2 == 1
+    raw.filter(early).drop("uri").write.parquet(f"{folder}/raw/a")  # parts of a scrape differ in their columns
+    raw.filter(late).write.parquet(f"{folder}/raw/b")
+    preparation.prepare_listings(spark, [f"{folder}/raw/a", f"{folder}/raw/b"], folder)
+    none = spark.createDataFrame([], "id long, rooms_value long, rooms_status string")
+    parts = []
+    for purpose, part in zip(("sell", "rental"), preparation.finish_listings(spark, folder, none)):
+        sums = [("bedrooms", "bedrooms"), ("living_rooms", "living_rooms"), ("is_furnished", "furnished"), ("age_years", "age")]
+        parts.append(
+            part.groupBy("estate_type").agg(
+                F.count(F.lit(1)).alias("listings"), *[F.sum(c).cast("long").alias(n) for c, n in sums], F.round(F.sum("street_width_m"), 3).alias("street_width")
+            ).withColumn("purpose", F.lit(purpose))
+        )
+    return parts[0].unionByName(parts[1])
+
+
 # --- J, H14-H18: extraction ------------------------------------------------------------------
 
 _NEED = {
@@ -356,7 +395,7 @@ def _(spark, sf):
 def _(spark, sf):
     target = scratch_path(spark, "merged")
     merge.merge_to_table(_doc_listings(spark, sf), _wide(spark, sf), ["wc"], target)
-    return spark.read.parquet(target).agg(F.count(F.lit(1)).alias("n"), F.count("wc").alias("known"))
+    return io.read_table(spark, target).agg(F.count(F.lit(1)).alias("n"), F.count("wc").alias("known"))
 
 
 @query(
@@ -532,7 +571,7 @@ def _(spark, sf):
 
 @query("M1_incremental_run", _EXTRACTED)
 def _(spark, sf):
-    from plotyard.streaming.incremental import start_incremental
+    from plotyard.streaming.incremental import read_extracted, start_incremental
 
     arriving, done, progress = (scratch_path(spark, n) for n in ("arriving", "done", "progress"))
     work = queue.build_queue(T.listings(spark, sf))
@@ -540,6 +579,4 @@ def _(spark, sf):
     for _ in range(2):  # the second run finds nothing new
         stream = start_incremental(spark, arriving, work.schema, stub_extractor, done, progress, "stub", 2)
         stream.awaitTermination()
-    return read_checkpoint(spark, done, CHECKPOINT_SCHEMA).agg(
-        F.count("id").alias("extracted"), F.count_distinct("id").alias("listings")
-    )
+    return read_extracted(spark, done).agg(F.count("id").alias("extracted"), F.count_distinct("id").alias("listings"))

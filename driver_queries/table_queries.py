@@ -140,20 +140,12 @@ def _map(spark, sf):
     return T.listings(spark, sf).join(T.estimates(spark, sf), "id", "left")
 
 
-@query(
-    "A10_json_array",
-    f"{WITH_L} SELECT count(*) AS rows, min(city) AS first_city, sum(n)::BIGINT AS listings FROM (SELECT city, count(*) AS n FROM l GROUP BY 1)",
-)
+@query("A10_json_array", f"{WITH_L} SELECT city, district, count(*) AS n FROM l GROUP BY 1, 2")
 def _(spark, sf):
     target = scratch_path(spark, "array-json")
-    counts = T.listings(spark, sf).groupBy("city").agg(F.count(F.lit(1)).alias("n"))
-    io.json_array(counts, "city").write.text(target)
-    rows = F.from_json("value", "array<struct<city:string,n:long>>")
-    back = spark.read.text(target).select(rows.alias("rows"))
-    return back.select(
-        F.size("rows").cast("long").alias("rows"), F.col("rows")[0]["city"].alias("first_city"),
-        F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + r["n"]).alias("listings"),
-    )
+    counts = T.listings(spark, sf).groupBy("city", "district").agg(F.count(F.lit(1)).alias("n"))
+    io.write_json_array(counts, target, "city")
+    return io.read_json_array(spark, target, "city string, district string, n long")
 
 
 @query(
@@ -203,7 +195,7 @@ def _(spark, sf):
     try:
         io.check_no_overwrite(before, before.withColumn("wc", F.lit(9)), ["beds", "wc"])
     except io.GuardError:
-        return spark.read.parquet(target).agg(F.count(F.lit(1)).alias("n"), F.count("beds").alias("known"))
+        return io.read_table(spark, target).agg(F.count(F.lit(1)).alias("n"), F.count("beds").alias("known"))
     raise AssertionError("an overwrite was not refused")
 
 

@@ -45,6 +45,14 @@ def outcomes(
     )
 
 
+def pending_work(queue: DataFrame, done: DataFrame, limit: int | None = None, partitions: int | None = None) -> DataFrame:
+    """Queued rows with something to extract that ``done`` does not hold."""
+    work = pending(tasks(queue), done)
+    if limit is not None:
+        work = work.orderBy("id").limit(limit)
+    return work.repartition(partitions) if partitions is not None else work
+
+
 def run_extraction(
     queue: DataFrame,
     extractor: Extractor,
@@ -59,9 +67,5 @@ def run_extraction(
     """
     spark = queue.sparkSession
     done = read_checkpoint(spark, checkpoint, CHECKPOINT_SCHEMA)
-    work = pending(tasks(queue), done)
-    if limit is not None:
-        work = work.orderBy("id").limit(limit)
-    if partitions is not None:
-        work = work.repartition(partitions)
+    work = pending_work(queue, done, limit, partitions)
     append_checkpoint(to_wide(outcomes(work, extractor, model_name)), checkpoint, CHECKPOINT_SCHEMA)

@@ -9,6 +9,7 @@ from plotyard import fixed_values as fv
 from plotyard.functions import pricing
 from plotyard.functions.predicates import country_clip
 from plotyard.operators import districts, outlines, prepare
+from plotyard.session import discard, hand_over
 from plotyard.sources import io
 
 DETAIL_COLUMNS = (
@@ -44,14 +45,17 @@ def build_marts(
     )
     io.write_mart(
         io.cluster_by_id(details_mart(listings, pois), partitions),
-        f"{folder}/details", fv.DETAILS_ROW_GROUP_ROWS,
+        f"{folder}/details", fv.DETAILS_ROW_GROUP_ROWS, lookup=("id",),
     )
     clipped = listings.filter(country_clip())
-    io.write_mart(districts.district_stats(clipped.join(pois, "id")), f"{folder}/districts")
-    io.write_mart(districts.district_prices(listings), f"{folder}/district_prices")
+    io.write_mart(districts.district_stats(clipped.join(pois, "id")), f"{folder}/districts", lookup=("district",))
+    io.write_mart(districts.district_prices(listings), f"{folder}/district_prices", lookup=("district",))
     stored = spark.read.parquet(f"{folder}/map")
-    stats = spark.read.parquet(f"{folder}/districts")
+    stats = spark.read.parquet(f"{folder}/districts", lookup=("district",))
     io.write_json_lines(districts.site_stats(stored), f"{folder}/site-stats")
     io.write_json_lines(districts.sufficient_districts(stats), f"{folder}/districts-json")
     io.write_json_lines(districts.filter_bounds(stored), f"{folder}/filter-bounds")
-    io.write_geojson(outlines.district_outlines(listings), f"{folder}/outlines")
+    shapes = hand_over(outlines.district_outlines(listings), "outlines")
+    io.write_geojson(shapes, f"{folder}/outlines")
+    io.write_geojson_collection(shapes, f"{folder}/outlines-collection")
+    discard(shapes)

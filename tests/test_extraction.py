@@ -8,7 +8,7 @@ from plotyard.operators import structural
 from plotyard.operators.extraction import evaluate, merge, queue, run, verify
 from plotyard.operators.extraction.fields import CHECKPOINT_SCHEMA
 from plotyard.sources import io
-from plotyard.streaming.incremental import start_incremental
+from plotyard.streaming.incremental import read_extracted, start_incremental
 
 TEXT = "شقة ثلاث غرف و صالة واحدة ودورتين مياه"
 SCHEMA = "id long, field string, value double, is_boolean boolean, evidence array<string>, clean string"
@@ -155,8 +155,62 @@ def test_incremental_run_takes_new_files_only(spark, listings, tmp_path):
     work.filter("id < 10").write.parquet(arriving)
     for expected in (10, 20, 20):
         start_incremental(spark, arriving, work.schema, _stub, done, progress, "m").awaitTermination()
-        assert io.read_checkpoint(spark, done, CHECKPOINT_SCHEMA).count() == expected
+        found = read_extracted(spark, done)
+        assert found.count() == found.select("id").distinct().count() == expected
         work.write.mode("append").parquet(arriving)
+    # a new stream over the same files has batches of its own and finds nothing left to do
+    start_incremental(spark, arriving, work.schema, _stub, done, str(tmp_path / "progress-2"), "m").awaitTermination()
+    assert read_extracted(spark, done).count() == 20
+
+
+@pytest.mark.parametrize("broken", ["commit_batch", "append_batch"])
+def test_a_batch_that_stopped_is_replayed_once(spark, listings, tmp_path, monkeypatch, broken):
+    work = queue.build_queue(listings)
+    arriving, done, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    work.filter("id < 6").repartition(1).write.parquet(arriving)
+    work.filter("id >= 6").repartition(1).write.mode("append").parquet(arriving)
+    whole, calls = getattr(io, broken), []
+
+    def stops(*args):
+        calls.append(args)
+        if len(calls) == 2:  # after the results of the second batch, before its commit; or in the middle of its results
+            if broken == "append_batch":
+                args[0].limit(3).write.parquet(f"{done}/batches/{args[2]}")
+            raise RuntimeError("lost")
+        return whole(*args)
+
+    monkeypatch.setattr(io, broken, stops)
+    with pytest.raises(Exception, match="lost"):
+        start_incremental(spark, arriving, work.schema, _stub, done, progress, "m", 1).awaitTermination()
+    part = read_extracted(spark, done)
+    assert 0 < part.count() < 20
+    monkeypatch.setattr(io, broken, whole)
+    start_incremental(spark, arriving, work.schema, _stub, done, progress, "m", 1).awaitTermination()
+    found = read_extracted(spark, done)
+    assert found.count() == found.select("id").distinct().count() == 20
+
+
+def test_tables_survive_a_stop_between_write_and_publish(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    before = spark.createDataFrame([(1, 2), (2, None)], "id long, wc int")
+    with pytest.raises(FileNotFoundError):
+        io.read_table(spark, path)
+    io.write_table(before, path)
+    filled = io.read_table(spark, path).fillna({"wc": 7})
+    publish = io.publish
+    monkeypatch.setattr(io, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        io.guarded_write(io.read_table(spark, path), filled, path, ["wc"])
+    assert sorted(map(tuple, io.read_table(spark, path).collect()), key=str) == [(1, 2), (2, None)]
+    monkeypatch.setattr(io, "publish", publish)
+    held = io.read_table(spark, path)
+    io.guarded_write(io.read_table(spark, path), filled, path, ["wc"])
+    assert sorted(map(tuple, io.read_table(spark, path).collect())) == [(1, 2), (2, 7)]
+    with pytest.raises(io.GuardError):
+        io.guarded_write(io.read_table(spark, path), before, path, ["wc"])
+    assert sorted(map(tuple, io.read_table(spark, path).collect())) == [(1, 2), (2, 7)]
+    assert sorted(map(tuple, held.collect()), key=str) == [(1, 2), (2, None)]  # a reader keeps its version
+    assert io.prune_versions(spark, path, keep=1) == 1 and io.read_table(spark, path).count() == 2
 
 
 def test_payload_violations_fail_their_fields(spark):
