@@ -1,13 +1,12 @@
 """Exact order statistics and interpolated quantiles per group, at any group size, in one lazy plan.
 
 1. Rows are counted per (group, label, value), combined map-side and spread by value.
-2. Counts are added up per bucket, a monotone function of the value; running totals over the buckets of a group find the
-   bucket each wanted rank falls in.
-3. Those buckets are split again, linearly between their smallest and largest value, the same way.
-4. Only the values of the sub-buckets hit are ranked.
+2. Counts are added up per bucket, a monotone function of the value (about 15 millionths of it wide); running totals over the
+   buckets of a group give exact bounds of the ranks in each and so find the bucket every wanted rank falls in.
+3. Only the values of the buckets hit are ranked.
 
 The same plan serves every size: nothing runs before the caller's action, no group is collected or sorted whole, and
-running totals are only taken over buckets (bounded in number) or over one sub-bucket.
+running totals are only taken over buckets (bounded in number) or over the values of one bucket.
 """
 
 from __future__ import annotations
@@ -19,8 +18,7 @@ from pyspark.sql import functions as F
 
 from plotyard.operators.joins import null_safe_join
 
-_LOG_STEPS = 2048
-_SUB_STEPS = 65_536
+_LOG_STEPS = 65_536
 
 Rank = Callable[[Column], Column]
 
@@ -31,11 +29,6 @@ def clean_numeric(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _upto(*part: str, by: str) -> Column:
-    window = Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.sum("c").over(window)
-
-
 def _asked(asks: Column) -> Column:
     """The asks whose rank lies among the rows before ``upto``, with their rank among these rows."""
     before = F.col("upto") - F.col("c")
@@ -51,33 +44,28 @@ def _ranked(
     labelled = [F.struct(F.lit(label).alias("label"), clean_numeric(v).alias("v")) for label, (v, _) in values.items()]
     group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("all"))
     rows = df.select(group.alias("g"), F.explode(F.array(*labelled)).alias("x")).select("g", "x.label", "x.v")
-    bucket = F.floor(F.signum("v") * F.log1p(F.abs("v")) * _LOG_STEPS)
-    counted = rows.groupBy("g", "label", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("b1", bucket)
-
-    coarse = counted.groupBy("g", "label", "b1").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    found = F.sum(F.when(F.col("lo").isNotNull(), F.col("c")).otherwise(0))
-    groups = coarse.groupBy("g", "label").agg(found.alias("n"))
-    known = coarse.filter("lo IS NOT NULL").withColumns(
-        {"n": F.sum("c").over(Window.partitionBy("g", "label")), "upto": _upto("g", "label", by="b1")}
-    )
+    bucket = F.floor(F.signum("v") * F.log1p(F.abs("v")) * _LOG_STEPS).alias("b")  # that of NULL is NULL and ranks nothing
+    counted = rows.groupBy("g", "label", bucket, "v").agg(F.count(F.lit(1)).alias("c"))
+
+    group_of = Window.partitionBy("g", "label")
+    totals = counted.groupBy("g", "label", "b").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("c"))
+    upto = F.sum("c").over(group_of.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    known = totals.withColumns({"n": F.sum("c").over(group_of), "upto": upto})
     wanted = F.lit(None).cast("array<struct<stat:string,rank:bigint>>")
     for label, (_, ranks) in values.items():
         asks = [F.struct(F.lit(s).alias("stat"), fn(F.col("n")).cast("long").alias("rank")) for s, fn in ranks.items()]
         wanted = F.when(F.col("label") == label, F.array(*asks)).otherwise(wanted)
-    first = known.select("g", "label", "b1", "lo", "hi", _asked(wanted).alias("asks")).filter(F.size("asks") > 0)
-
-    width = F.col("hi") - F.col("lo")
-    step = F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width * _SUB_STEPS)).otherwise(0)
-    inside = null_safe_join(counted, first, ["g", "label", "b1"]).withColumn("b2", step)
-    fine = inside.groupBy("g", "label", "b1", "b2").agg(F.sum("c").alias("c"), F.first("asks").alias("asks"))
-    fine = fine.withColumn("upto", _upto("g", "label", "b1", by="b2"))
-    second = fine.select("g", "label", "b1", "b2", _asked(F.col("asks")).alias("asks")).filter(F.size("asks") > 0)
-    last = null_safe_join(inside.drop("asks"), second, ["g", "label", "b1", "b2"])
-    last = last.withColumn("upto", _upto("g", "label", "b1", "b2", by="v"))
-    hit = last.select("g", "v", F.explode(_asked(F.col("asks"))).alias("a"))
-    entries = hit.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("a.stat", "v"))).alias("stats"))
-    sizes = groups.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"))
-    return null_safe_join(sizes, entries, ["g"], "left")
+    hit = known.select("g", "label", "b", "n", _asked(wanted).alias("asks")).filter((F.size("asks") > 0) | F.col("b").isNull())
+
+    inside = null_safe_join(counted, hit, ["g", "label", "b"])
+    along = Window.partitionBy("g", "label", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.withColumn("upto", F.sum("c").over(along))
+    found = ranked.select("g", "label", "n", "v", _asked(F.col("asks")).alias("asks")).filter((F.size("asks") > 0) | F.col("v").isNull())
+    found = found.select("g", "label", "n", F.transform("asks", lambda a: F.struct(a["stat"].alias("stat"), F.col("v").alias("v"))).alias("hits"))
+    return found.groupBy("g").agg(
+        F.map_from_entries(F.flatten(F.collect_list("hits"))).alias("stats"),
+        F.map_from_entries(F.collect_set(F.struct("label", "n"))).alias("counts"),
+    )
 
 
 def _keys_of(keys: Sequence[str]) -> list[Column]:
