@@ -1,6 +1,7 @@
 """Saved searches against listings: which listings match which search, counts and newest hits.
 
-Every criterion may be absent. Matching is an equi-join, not a comparison of every listing with
+Counts come from a cube of bins, of which only the edges of a search are opened. For the listings themselves:
+every criterion may be absent, and matching is an equi-join, not a comparison of every listing with
 every search: a search carries only the keys it sets (purpose, type, city, district, grid cells
 of its circle, price bins of its range) and its *shape* says which. A listing offers one key per
 shape in use - at most 64 - and the exact predicate then runs on the joined rows only.
@@ -176,10 +177,102 @@ def match(listings: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFram
     return pairs.select("rep", "id", "price", "last_update"), members
 
 
+# --- counting without pairs ------------------------------------------------------------------
+# Listings are counted once in a cube: purpose, type, place, grid cell, price bin, area bin and beds, each only where the searches of a shape
+# set it. A search adds up the cube's rows that lie wholly within its ranges and its circle, and opens only those that an
+# edge of them cuts. So what is joined grows with the rows of the cube, which are bounded by its bins however many listings there are, and with
+# the listings at the edges.
+
+_FINE_PRICE, _FINE_AREA = 8, 8  # bins per octave of the cube
+_PLACE_KEYS = ("k_shape", "k_purpose", "k_type", "k_city", "k_district", "k_gy", "k_gx")
+_BIN_KEYS = ("k_price", "k_area", "k_beds")
+
+
+def _fine_bin(value: Column, per_octave: int) -> Column:
+    bin_ = F.least(F.floor(F.log2(F.greatest(value, F.lit(1.0))) * per_octave), F.lit(10_000))
+    return F.when(value.isNotNull(), bin_).cast("int")  # greatest() passes over a NULL
+
+
+def _wanted_cells(reps: DataFrame) -> DataFrame:
+    """Searches with their shape (eight marks), the places they are met at and the bins of their ranges' ends."""
+    near = F.col("near_km").isNotNull()
+    dlat, dlng = F.col("near_km") / fv.KM_PER_DEGREE, F.col("near_km") / _km_per_lng(F.col("near_lat"))
+
+    def cells(centre: str, delta: Column) -> Column:
+        low, high = (F.floor((F.col(centre) + d) * _CELLS_PER_DEGREE).cast("int") for d in (-delta, delta))
+        return F.when(near, F.sequence(low, high)).otherwise(F.array(F.lit(0)))
+
+    def ranged(name: str) -> Column:
+        return F.col(f"{name}_min").isNotNull() | F.col(f"{name}_max").isNotNull()
+
+    marks = [*(F.col(c).isNotNull() for c in ("purpose", "estate_type", "city", "district")), near, ranged("price"), ranged("area"), F.col("min_beds").isNotNull()]
+    placed = reps.withColumn("k_shape", F.concat(*[F.when(m, "1").otherwise("0") for m in marks]))
+    placed = placed.withColumns({f"k_{k}": F.coalesce(c, F.lit("")) for k, c in (("purpose", "purpose"), ("type", "estate_type"), ("city", "city"), ("district", "district"))})
+    ends = {f"{name}_{end}_bin": _fine_bin(F.col(f"{name}_{end}"), steps) for name, steps in (("price", _FINE_PRICE), ("area", _FINE_AREA)) for end in ("min", "max")}
+    return placed.withColumns(ends).withColumn("k_gy", F.explode(cells("near_lat", dlat))).withColumn("k_gx", F.explode(cells("near_lng", dlng)))
+
+
+def _cube_keys(rows: DataFrame, shapes: list[str]) -> DataFrame:
+    """A row per shape in use with the keys that the shape sets; rows without a value that it needs have none."""
+
+    def part(bit: int, value: str, absent: str | int) -> Column:
+        return F.when(F.substring("k_shape", bit, 1) == "1", F.col(value)).otherwise(F.lit(absent))
+
+    shaped = rows.withColumn("k_shape", F.explode(F.array(*[F.lit(x) for x in shapes])))
+    keys = {
+        "k_purpose": part(1, "estate_benefit", ""), "k_type": part(2, "estate_type", ""), "k_city": part(3, "city", ""), "k_district": part(4, "district", ""),
+        "k_gy": part(5, "__gy", 0), "k_gx": part(5, "__gx", 0), "k_price": part(6, "__price", 0), "k_area": part(7, "__area", 0), "k_beds": part(8, "__beds", 0.0),
+    }
+    named = shaped.select(*[c for c in rows.columns if c not in ("estate_benefit", "estate_type", "city", "district")], "k_shape", *[v.alias(k) for k, v in keys.items()])
+    return named.dropna(subset=list(keys)).drop("__gy", "__gx", "__price", "__area", "__beds")
+
+
+def counted_parts(listings: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(whole, opened, members): per distinct search ``rep`` the cube's rows that count as they are, ``n``; the listings of cut ones that match;
+    and the ``search_id`` to ``rep`` mapping."""
+    wanted = canonical(searches)
+    reps = wanted.groupBy(*CRITERIA).agg(F.min("search_id").alias("rep"))
+    members = null_safe_join(wanted, reps, CRITERIA).select("search_id", "rep")
+    asked = cut_lineage(_wanted_cells(reps))
+    # a shape is eight yes/no marks, so at most 256 of them reach the driver
+    shapes = sorted(r[0] for r in asked.select("k_shape").distinct().collect())
+    cell = lambda c: F.floor(F.col(c) * _CELLS_PER_DEGREE).cast("int")
+    rows = listings.select(
+        "id", "lat", "lng", "price", "area", "beds", "estate_benefit", "estate_type", "city", "district", cell("lat").alias("__gy"), cell("lng").alias("__gx"),
+        _fine_bin(F.col("price"), _FINE_PRICE).alias("__price"), _fine_bin(F.col("area"), _FINE_AREA).alias("__area"), F.col("beds").cast("double").alias("__beds"),
+    )
+    binned = [c for c in rows.columns if c not in ("id", "lat", "lng", "price", "area", "beds")]
+    cube = _cube_keys(rows.groupBy(*binned).agg(F.count(F.lit(1)).alias("n")), shapes)
+    cube = cube.groupBy(*_PLACE_KEYS, *_BIN_KEYS).agg(F.sum("n").alias("n"))
+
+    def above(bin_: str, low: str) -> Column:
+        return F.coalesce(F.col(bin_) >= F.col(low), F.lit(True))
+
+    def below(bin_: str, high: str) -> Column:
+        return F.coalesce(F.col(bin_) <= F.col(high), F.lit(True))
+
+    def at_edge(bin_: str, name: str) -> Column:
+        return F.coalesce(F.col(bin_) == F.col(f"{name}_min_bin"), F.lit(False)) | F.coalesce(F.col(bin_) == F.col(f"{name}_max_bin"), F.lit(False))
+
+    possible = above("k_price", "price_min_bin") & below("k_price", "price_max_bin") & above("k_area", "area_min_bin") & below("k_area", "area_max_bin")
+    possible = possible & above("k_beds", "min_beds")
+    side = 1 / _CELLS_PER_DEGREE
+    south, west = F.col("k_gy") * side, F.col("k_gx") * side
+    dy = F.greatest(F.abs(south - F.col("near_lat")), F.abs(south + side - F.col("near_lat"))) * fv.KM_PER_DEGREE
+    dx = F.greatest(F.abs(west - F.col("near_lng")), F.abs(west + side - F.col("near_lng"))) * _km_per_lng(F.col("near_lat"))
+    # the cell's farthest corner, with room for rounding
+    cut = F.col("near_km").isNotNull() & (dx * dx + dy * dy > F.col("near_km") * F.col("near_km") * (1 - 1e-9))
+    met = cube.join(asked, list(_PLACE_KEYS)).filter(possible).withColumn("cut", cut | at_edge("k_price", "price") | at_edge("k_area", "area"))
+    whole = met.filter(~F.col("cut")).select("rep", "n")
+    edges = met.filter("cut").drop("n", "cut", "purpose", "estate_type", "city", "district")
+    opened = _cube_keys(rows, shapes).join(edges, [*_PLACE_KEYS, *_BIN_KEYS]).filter(_exact()).select("rep", "id")
+    return whole, opened, members
+
+
 def match_counts(listings: DataFrame, searches: DataFrame) -> DataFrame:
-    """Matches per search, zero included; counted before anything is shuffled."""
-    pairs, members = match(listings, searches)
-    counts = pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("matches"))
+    """Matches per search, zero included, without a row per search and listing (see ``counted_parts``)."""
+    whole, opened, members = counted_parts(listings, searches)
+    counts = whole.unionByName(opened.select("rep", F.lit(1).cast("long").alias("n"))).groupBy("rep").agg(F.sum("n").alias("matches"))
     return members.join(counts, "rep", "left").select(
         "search_id", F.coalesce("matches", F.lit(0).cast("long")).alias("matches")
     )

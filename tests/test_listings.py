@@ -1,4 +1,5 @@
 import glob
+import json
 import math
 
 import pyarrow.parquet as pq
@@ -108,6 +109,8 @@ def _searches(spark):
         (6, "rental", None, 9e5, 1e5, None, None, None, None, None, None, None, None),
         (7, None, None, None, 3e5, 100.0, 300.0, None, None, None, 24.1, 46.1, 10.0),
         (8, "sell", "villa", 2e5, 6e5, None, None, 2.0, "big", "d1", None, None, None),
+        (9, None, None, 5e5, None, 120.0, None, None, None, None, None, None, None),
+        (10, None, "land", None, None, None, 90.0, 3.0, None, None, 24.1, 46.1, 20.0),
     ]
     return spark.createDataFrame(rows, SEARCH)
 
@@ -148,6 +151,19 @@ def test_saved_searches_equal_the_full_comparison(spark, listings, monkeypatch,
         assert [r["id"] for r in sorted((x for x in newest if x["search_id"] == sid), key=lambda x: x["rank"])] == order
 
 
+def test_counting_joins_grow_with_searches_and_listings(spark, listings):
+    """Ten times the listings: the cube's rows stay, the listings opened at edges grow ten times, no pair is listed for whole bins."""
+    saved = _searches(spark)
+    many = listings.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("id", F.col("id") * 10 + F.col("__k")).drop("__k")
+    one, ten = searches.counted_parts(listings, saved), searches.counted_parts(many, saved)
+    assert one[0].count() == ten[0].count() and one[0].groupBy().sum("n").first()[0] * 10 == ten[0].groupBy().sum("n").first()[0]
+    assert one[1].count() * 10 == ten[1].count() < many.count() * saved.count() / 10
+    copies = saved.unionByName(saved.withColumn("search_id", F.col("search_id") + 100))
+    assert searches.counted_parts(listings, copies)[0].count() == one[0].count()  # equal searches are counted once
+    got = {r["search_id"]: r["matches"] for r in searches.match_counts(listings, copies).collect()}
+    assert all(got[i] == got[i + 100] for i in range(1, 11))
+
+
 def test_valuation_labels(spark):
     rows = [(100.0, 90.0, 110.0, 0.04, "sell"), (100.0, 90.0, 110.0, 0.055, "sell"), (100.0, 90.0, 110.0, -0.2, "sell"),
             (None, None, None, None, "rental"), (None, None, None, None, "sell")]
@@ -224,3 +240,38 @@ def test_dotted_scrape_columns_are_dropped_by_exact_name(spark):
     df = spark.createDataFrame([(1, 24.0, 46.0, "x", 5)], "id long, `location.lat` double, `location.lng` double, `user.img` string, uri int")
     clean = prepare.flatten_names(prepare.drop_columns(df))
     assert clean.columns == ["id", "lat", "lng"]
+
+
+def test_framed_json_of_many_parts_is_one_document(spark, tmp_path):
+    rows = [(i, f'a "{i}"', None if i % 3 else i / 2) for i in range(997)]
+    df = spark.createDataFrame(rows, "n long, name string, v double").repartition(7)
+    whole = lambda p: "".join(f.read_text() for f in sorted(p.glob("part-*")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a table this small would be one part
+    io.write_json_array(df, str(tmp_path / "array"), "n")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "array").glob("part-*"))) > 1
+    got = json.loads(whole(tmp_path / "array"))
+    assert [(r["n"], r["name"], r.get("v")) for r in got] == rows
+    assert sorted(map(tuple, io.read_json_array(spark, str(tmp_path / "array"), df.schema).collect())) == rows
+    io.write_json_array(df.limit(0), str(tmp_path / "none"), "n")
+    assert json.loads(whole(tmp_path / "none")) == []
+    ring = F.array(*(F.struct(F.lit(float(x)).alias("lng"), F.lit(float(y)).alias("lat")) for x, y in ((0, 0), (0, 1), (1, 1), (0, 0))))
+    outlines = df.select(F.lit("c").alias("city"), F.col("name").alias("district"), ring.alias("ring"))
+    io.write_geojson_collection(outlines, str(tmp_path / "geo"))
+    geo = json.loads(whole(tmp_path / "geo"))
+    assert geo["type"] == "FeatureCollection" and [f["properties"]["district"] for f in geo["features"]] == sorted(r[1] for r in rows)
+
+
+def test_a_lookup_reads_one_row_group(spark, tmp_path):
+    """Unsorted text keys: every row group's range allows the value, its Bloom filter only in one."""
+    rows = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("place"), "id")
+    for name, lookup in (("plain", ()), ("filtered", ("place",))):
+        io.write_mart(rows.coalesce(1), str(tmp_path / name), 4_000, lookup=lookup)
+    read = {}
+    for name in ("plain", "filtered"):
+        found = spark.read.parquet(str(tmp_path / name)).filter(F.col("place") == F.sha2(F.lit("777"), 256))
+        assert [r["id"] for r in found.collect()] == [777]
+        plan = found._jdf.queryExecution().executedPlan()
+        scan = plan.collectLeaves().head()
+        read[name] = scan.metrics().apply("numOutputRows").value()
+    assert read["plain"] == 40_000 and read["filtered"] <= 8_000

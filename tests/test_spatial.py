@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from plotyard.functions import geo
 from plotyard.operators import outlines, spatial
 from plotyard.functions.predicates import Near, near_predicate
+from plotyard.sources import io
 
 R = 6378137.0
 
@@ -135,3 +137,71 @@ def test_a_far_listing_costs_a_dense_district_nothing(spark):
     positions = lambda rs: {(r.lat, r.lng) for r in outlines.reduced_points(spark.createDataFrame(rs, schema)).collect()}
     dense, with_far = positions(rows), positions([*rows, ("c", "d", 26.0, 46.0)])
     assert len(dense) > 4800 and with_far == dense | {(26.0, 46.0)}
+
+
+GEOMETRIES = {
+    "point": {"type": "Point", "coordinates": [46.0, 24.0]},
+    "points": {"type": "MultiPoint", "coordinates": [[46.0, 24.0], [46.2, 24.1]]},
+    "line": {"type": "LineString", "coordinates": [[46.0, 24.0], [46.1, 24.05], [46.1, 24.2]]},
+    "lines": {"type": "MultiLineString", "coordinates": [[[46.0, 24.0], [46.1, 24.0]], [[46.3, 24.3], [46.3, 24.2]]]},
+    "ring_line": {"type": "LineString", "coordinates": [[46.0, 24.0], [46.2, 24.0], [46.2, 24.2], [46.0, 24.2], [46.0, 24.0]]},
+    "area": {"type": "Polygon", "coordinates": [[[46.0, 24.0], [46.2, 24.0], [46.2, 24.2], [46.0, 24.2], [46.0, 24.0]], [[46.08, 24.08], [46.12, 24.08], [46.12, 24.12], [46.08, 24.08]]]},
+    "areas": {"type": "MultiPolygon", "coordinates": [[[[46.0, 24.0], [46.1, 24.0], [46.1, 24.1], [46.0, 24.0]]], [[[46.3, 24.0], [46.4, 24.0], [46.4, 24.1], [46.3, 24.0]]]]},
+}
+GEOMETRIES["mixed"] = {"type": "GeometryCollection", "geometries": [GEOMETRIES["line"], {"type": "GeometryCollection", "geometries": [GEOMETRIES["areas"], GEOMETRIES["points"]]}]}
+
+
+def _flat_distance(px, py, geometry):
+    """Plain Python, on projected metres."""
+    project = lambda p: (math.radians(p[0]) * 6378137.0, 6378137.0 * math.log(math.tan(math.pi / 4 + math.radians(p[1]) / 2)))
+
+    def segment(a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, ((px - a[0]) * dx + (py - a[1]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(px - a[0] - t * dx, py - a[1] - t * dy)
+
+    def path(points):
+        points = [project(p) for p in points]
+        return min(segment(a, b) for a, b in zip(points, points[1:] or points))
+
+    def polygon(rings):
+        inside = False
+        for r in rings:
+            points = [project(p) for p in r]
+            for (x1, y1), (x2, y2) in zip(points, points[1:]):
+                if (y1 > py) != (y2 > py) and px < x1 + (py - y1) * (x2 - x1) / (y2 - y1):
+                    inside = not inside
+        return 0.0 if inside else min(path(r) for r in rings)
+
+    kind, c = geometry["type"], geometry.get("coordinates")
+    if kind == "GeometryCollection":
+        return min(_flat_distance(px, py, g) for g in geometry["geometries"])
+    one = {"Point": lambda: path([c]), "MultiPoint": lambda: min(path([p]) for p in c), "LineString": lambda: path(c),
+           "MultiLineString": lambda: min(map(path, c)), "Polygon": lambda: polygon(c), "MultiPolygon": lambda: min(map(polygon, c))}
+    return one[kind]()
+
+
+def test_geometries_of_every_kind_have_their_distances(spark, tmp_path):
+    (tmp_path / "layer").mkdir()
+    (tmp_path / "layer" / "a.json").write_text("\n".join(json.dumps({"type": "Feature", "properties": {"fclass": n}, "geometry": g}) for n, g in GEOMETRIES.items()))
+    features = io.read_features(spark, {"l": str(tmp_path / "layer")})
+    kinds = {r["fclass"]: r["kind"] for r in features.collect()}
+    assert kinds == {"point": "point", "points": "area", "line": "line", "lines": "line", "ring_line": "line", "area": "area", "areas": "area", "mixed": "area"}
+    objects = spatial.to_objects(features.withColumn("category", F.col("fclass")))
+    places = [(46.05, 24.03), (46.1, 24.1), (46.11, 24.09), (46.0, 24.0), (46.35, 24.02), (47.0, 25.0), (46.15, 24.15)]
+    asked = spark.createDataFrame(places, "lng double, lat double").select("lng", "lat", geo.mercator_x(F.col("lng")).alias("px"), geo.mercator_y(F.col("lat")).alias("py"))
+    px, py = F.col("px"), F.col("py")
+    far = F.when(F.col("edges").isNull(), geo.hypot(px - F.col("x0"), py - F.col("y0"))).otherwise(geo.edges_distance(px, py, F.col("edges"), F.col("is_area")))
+    rows = asked.join(objects, F.lit(True)).select("category", "px", "py", far.alias("d")).collect()
+    assert len(rows) == len(places) * len(GEOMETRIES)
+    for r in rows:
+        assert r["d"] == pytest.approx(_flat_distance(r["px"], r["py"], GEOMETRIES[r["category"]]), abs=1e-6), r["category"]
+
+
+def test_unknown_geometries_are_counted_and_refused(spark, tmp_path):
+    lines = [{"type": "Curve", "coordinates": []}, {"type": "GeometryCollection", "geometries": [{"type": "Curve"}, GEOMETRIES["point"]]}, None, GEOMETRIES["point"]]
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"properties": {"fclass": "x"}, "geometry": g}) for g in lines))
+    with pytest.raises(io.GuardError, match="2 x Curve in l"):
+        io.read_features(spark, {"l": str(tmp_path / "a.json")})
+    kept = io.read_features(spark, {"l": str(tmp_path / "a.json")}, refuse_unknown=False).collect()
+    assert [r["rings"] is not None for r in kept] == [False, False, False, True]
