@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driver_queries import tables as T
@@ -11,7 +12,8 @@ from plotyard.functions import labels, predicates, pricing
 from plotyard.functions.predicates import Bounds, Filters, Near
 from plotyard.operators import districts, joins, prepare, profile, sampling, searches, viewport
 from plotyard.plans import marts
-from plotyard.session import cut_lineage
+from plotyard.session import cut_lineage, scratch_path
+from plotyard.sources import io
 
 BOX = Bounds(south=18.0, west=37.0, north=27.5, east=48.0)
 BOX_SQL = "lat BETWEEN 18.0e0 AND 27.5e0 AND lng BETWEEN 37.0e0 AND 48.0e0"
@@ -179,6 +181,50 @@ def _(spark, sf):
     return viewport.listing_by_id(_map(spark, sf), newest)
 
 
+_TOP_PLACE = "SELECT city, district FROM l WHERE id = (SELECT max(id) FROM l WHERE district IS NOT NULL)"
+
+
+def _top_place(spark, sf):
+    """City, district, type and purpose of the newest listing with a district."""
+    placed = T.listings(spark, sf).filter("district IS NOT NULL")
+    return placed.agg(F.max_by(F.struct("city", "district", "estate_type", "estate_benefit"), "id").alias("p")).first()["p"]
+
+
+@query(
+    "B15_detail_lookup",
+    f"{WITH_L} SELECT id, title, content, beds, livings, wc, area, street_width, age, furnished FROM l WHERE id = (SELECT max(id) FROM l)",
+)
+def _(spark, sf):
+    target, listings = scratch_path(spark, "details"), T.listings(spark, sf)
+    columns = ["id", "title", "content", "beds", "livings", "wc", "area", "street_width", "age", "furnished"]
+    io.write_mart(io.cluster_by_id(listings.select(columns), 8), target, fv.DETAILS_ROW_GROUP_ROWS, lookup=("id",))
+    return viewport.detail_by_id(spark.read.parquet(target), listings.agg(F.max("id")).first()[0])
+
+
+@query(
+    "B15_district_lookup",
+    f"{WITH_L} SELECT city, district, listings FROM (SELECT city, district, count(*) AS listings FROM l GROUP BY 1, 2) JOIN ({_TOP_PLACE}) USING (city, district)",
+)
+def _(spark, sf):
+    target, place = scratch_path(spark, "district-counts"), _top_place(spark, sf)
+    counts = T.listings(spark, sf).groupBy("city", "district").agg(F.count(F.lit(1)).alias("listings"))
+    io.write_mart(counts, target, lookup=("district",))
+    return viewport.district(spark.read.parquet(target), place["city"], place["district"])
+
+
+@query(
+    "B15_comparable_lookup",
+    f"{WITH_L}, t AS (SELECT city, district, estate_type, estate_benefit FROM l WHERE id = (SELECT max(id) FROM l WHERE district IS NOT NULL)) "
+    "SELECT city, district, estate_type, estate_benefit, count(*) AS listings, round(max(price), 2) AS highest FROM l "
+    "JOIN t USING (city, district, estate_type, estate_benefit) GROUP BY ALL",
+)
+def _(spark, sf):
+    target, place = scratch_path(spark, "segment-counts"), _top_place(spark, sf)
+    segments = T.listings(spark, sf).groupBy("city", "district", "estate_type", "estate_benefit")
+    io.write_mart(segments.agg(F.count(F.lit(1)).alias("listings"), F.round(F.max("price"), 2).alias("highest")), target, lookup=("district",))
+    return viewport.comparable(spark.read.parquet(target), *place)
+
+
 @query(
     "B16_street_width_sentinel",
     f"{WITH_L} SELECT id, CASE WHEN street_width > 0 THEN street_width END AS street_width FROM l",
@@ -517,11 +563,13 @@ def _(spark, sf):
 
 @query(
     "D9_city_rollup",
-    f"{WITH_L}, {_STATS_SQL} SELECT city, sum(listing_count)::BIGINT AS total, count(*) AS districts FROM s GROUP BY 1",
+    f"{WITH_L}, {_STATS_SQL} SELECT city, sum(listing_count)::BIGINT AS total, string_agg(coalesce(district, '') || ':' || listing_count, ',' "
+    "ORDER BY district NULLS FIRST) AS districts FROM s GROUP BY 1",
 )
 def _(spark, sf):
     rolled = districts.city_rollup(_stats(spark, sf))
-    return rolled.select("city", "total", F.size("districts").cast("long").alias("districts"))
+    one = lambda d: F.concat(F.coalesce(d["district"], F.lit("")), F.lit(":"), d["listing_count"].cast("string"))
+    return rolled.select("city", "total", F.array_join(F.transform("districts", one), ",").alias("districts"))
 
 
 _PROFILE_COLUMNS = ("price", "beds", "livings", "wc", "street_width", "furnished", "district")
@@ -659,6 +707,24 @@ def _(spark, sf):
     return pairs.select("a", "b", F.round("r", 6).alias("r"))
 
 
+_LINKED = {"price": "price", "area": "area", "cost": "price * 0.9e0 + area * 100e0", "rebate": "area - price * 2e0"}
+
+
+@query(
+    "D19_top_correlations",
+    f"{WITH_L}, n AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _LINKED.items())} FROM l), c AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM n" for i, a in enumerate(_LINKED) for b in list(_LINKED)[i + 1 :]
+    )
+    + ") SELECT a, b, round(r, 6) AS r, row_number() OVER (ORDER BY abs(r) DESC, a, b)::INT AS place FROM c WHERE abs(r) > 0.7e0",
+)
+def _(spark, sf):
+    linked = T.listings(spark, sf).selectExpr(*[f"{e} AS {c}" for c, e in _LINKED.items()])
+    top = profile.top_correlations(linked, list(_LINKED))
+    place = F.row_number().over(Window.orderBy(F.abs("r").desc(), "a", "b"))  # a row per pair of columns
+    return top.withColumn("place", place).select("a", "b", F.round("r", 6).alias("r"), "place")
+
+
 @query(
     "D26_fill_audit",
     f"{WITH_L} SELECT 'beds' AS \"column\", count(*) FILTER (beds IS NULL) AS nulls_before, 0::BIGINT AS nulls_after, "
@@ -872,7 +938,7 @@ _TIERS = "(CASE id % 4 WHEN 0 THEN price WHEN 1 THEN price / 1e3 WHEN 2 THEN pri
     )
     + " WHEN p >= 1e3 THEN (CASE WHEN p / 1e3 < 10 THEN "
     "rtrim(rtrim(printf('%.1f', p / 1e3), '0'), '.') ELSE printf('%.0f', p / 1e3) END) || 'K' "
-    "ELSE CAST(CAST(floor(p + 0.5e0) AS BIGINT) AS VARCHAR) || ' SAR' END AS label FROM t",
+    "ELSE format('{:,}', CAST(floor(p + 0.5e0) AS BIGINT)) || ' SAR' END AS label FROM t",
 )
 def _(spark, sf):
     priced = T.listings(spark, sf).select("id", F.expr(_TIERS).alias("p"))

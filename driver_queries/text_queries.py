@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driver_queries import tables as T
 from driver_queries.registry import WITH_L, query
+from plotyard import fixed_values as fv
 from plotyard.functions import labels, text
 from plotyard.operators import prepare, profile
 
@@ -105,6 +106,36 @@ def _(spark, sf):
     return prepare.with_text_flags(named).drop("title", "content")
 
 
+# Stand-in ads: three phrases chosen by a document's id and length; some are denied, some name a park nearby.
+_PHRASES = (
+    "شقه واسعه", "مسبح كبير", "بدون مسبح", "مكيفات سبليت", "لا يوجد مصعد", "مصعد حديث", "غرفه سائق", "غرفه خادمه", "قريب من حديقه عامه",
+    "حديقه خاصه", "حوش كبير", "بدون حوش خلفي", "مدخلين", "زاويه", "مطبخ راكب", "غير مفروشه بالكامل", "مفروشه", "جديد", "دخل شهري", "قابل للتفاوض",
+    "فرصه", "قبو", "موقف سياره", "امام المسجد", "مقابل منتزه", "سطح", "مافيه قبو", "للبيع",
+)
+
+
+def _phrase_sql(place: str) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in _PHRASES) + f"][1 + ({place}) % {len(_PHRASES)}]"
+
+
+_PLACES = ("doc_id * 7 + length(text)", "doc_id * 5 + length(text) * 3 + 11", "length(text) * 11 + doc_id")
+_RAISED = ", ".join(f"CAST(regexp_matches(t, '{p}') AS TINYINT) AS {n}" for n, p in fv.FLAG_PATTERNS.items() if n not in ("f_garden", "f_yard", "f_near_park"))
+
+
+@query(
+    "H5_arabic_ads",
+    f"WITH a AS (SELECT doc_id, {_phrase_sql(_PLACES[0])} || ' ' || {_phrase_sql(_PLACES[1])} || ' ' || {_phrase_sql(_PLACES[2])} AS ad FROM documents), "
+    f"s AS (SELECT doc_id, regexp_replace(translate(ad, '{fv.FLAG_LETTERS_FROM}', '{fv.FLAG_LETTERS_TO}'), '{fv.NEGATION_PATTERN}', ' ', 'g') AS t FROM a), "
+    f"r AS (SELECT *, regexp_replace(t, '{fv.NEAR_PARK_PATTERN}', ' ', 'g') AS rest FROM s) SELECT doc_id, {_RAISED}, "
+    f"CAST(regexp_matches(t, '{fv.NEAR_PARK_PATTERN}') AS TINYINT) AS f_near_park, CAST(regexp_matches(rest, '{fv.GARDEN_PATTERN}') AS TINYINT) AS f_garden, "
+    f"CAST(regexp_matches(rest, '{fv.YARD_PATTERN}') AS TINYINT) AS f_yard FROM r",
+)
+def _(spark, sf):
+    phrase = lambda place: f"element_at(array({', '.join(repr(x) for x in _PHRASES)}), cast(1 + ({place}) % {len(_PHRASES)} as int))"
+    ads = _documents(spark, sf).selectExpr("doc_id", f"{phrase(_PLACES[0])} AS title", f"concat({phrase(_PLACES[1])}, ' ', {phrase(_PLACES[2])}) AS content")
+    return prepare.with_text_flags(ads).drop("title", "content")
+
+
 @query(
     "H7_fill_ac",
     f"{WITH_L} SELECT id, CASE WHEN ac IS NULL AND estate_benefit = 'rental' AND estate_type IN ('apartment', 'chalet', "

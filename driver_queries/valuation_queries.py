@@ -150,14 +150,16 @@ def _(spark, sf):
 @query("K3_boosted_fit")
 def _(spark, sf):
     rows = _rows(spark, sf)
-    scored = [models.predict(models.market_rows(rows, m), models.fit(rows, m)) for m in MARKETS]
+    fits = models.fit_markets(rows, MARKETS)
+    scored = [models.predict(models.market_rows(rows, m), x) for m, x in zip(MARKETS, fits)]
     return _union([part.select("id", "predicted_log", "predicted") for part in scored])
 
 
 @query("K4_random_search")
 def _(spark, sf):
     rows = _rows(spark, sf)
-    scored = [(m, str(p), float(s)) for m in MARKETS for p, s in models.search(rows, m)[1]]
+    found = models.at_once(spark, [lambda m=m: models.search(rows, m)[1] for m in MARKETS])
+    scored = [(m, str(p), float(s)) for m, candidates in zip(MARKETS, found) for p, s in candidates]
     return spark.createDataFrame(scored, "target string, params string, rmse double")
 
 
@@ -179,7 +181,7 @@ def _(spark, sf):
 @query("K7_score_described")
 def _(spark, sf):
     rows = _rows(spark, sf)
-    fitted = [models.value_market(rows, m, models.DEFAULT_PARAMS)[1] for m in MARKETS]
+    fitted = models.at_once(spark, [lambda m=m: models.value_market(rows, m, models.DEFAULT_PARAMS)[1] for m in MARKETS])
     # the described properties are the listings themselves, some in places nobody has seen; what was not given is null
     absent = {v: F.when(F.col(flag) == 0, F.col(v)) for flag, v in fv.MISSING_FLAG_OF.items()}
     given = sorted({f for x in fitted for f in x.features} - set(absent) - set(fv.MISSING_FLAG_OF) - {"city"})
@@ -196,8 +198,7 @@ def _(spark, sf):
     from plotyard.plans.offline import load_fitted
 
     rows, folder, parts = _rows(spark, sf), scratch_path(spark, "model"), []
-    for market in MARKETS:
-        fitted = models.fit(rows, market)
+    for market, fitted in zip(MARKETS, models.fit_markets(rows, MARKETS)):
         io.save_model(fitted.model, fitted.metadata(), f"{folder}/models/{market}", spark)
         parts.append(models.predict(models.market_rows(rows, market), load_fitted(spark, folder, market)))
     return _union([part.select("id", "predicted") for part in parts])
@@ -236,14 +237,14 @@ def _(spark, sf):
 @query("K10_permutation_importance")
 def _(spark, sf):
     rows = _rows(spark, sf)
-    tables = [models.permutation_importance(rows, models.fit(rows, m)).select(F.lit(m).alias("target"), "*") for m in MARKETS]
+    tables = [models.permutation_importance(rows, x).select(F.lit(x.market).alias("target"), "*") for x in models.fit_markets(rows, MARKETS)]
     return _union(tables)
 
 
 @query("K11_model_size")
 def _(spark, sf):
     rows = _rows(spark, sf)
-    sizes = [(x.market, models.model_size(x.model), len(x.features)) for x in (models.fit(rows, m) for m in MARKETS)]
+    sizes = [(x.market, models.model_size(x.model), len(x.features)) for x in models.fit_markets(rows, MARKETS)]
     return spark.createDataFrame(sizes, "target string, leaves long, features long")
 
 
@@ -264,3 +265,41 @@ def _(spark, sf):
     return rows.groupBy("market").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("true_log"), 4).alias("target")
     )
+
+
+_PRESENT = {"beds", "livings", "wc", "area", "street_width", "furnished", *fv.AMENITY_FLAGS, *(f"{f}_na" for f in ("beds", "livings", "wc", "furnished", "street_width"))}
+_SOURCE_OF = {fv.MODEL_NAMES.get(c, c): c for c in fv.MODEL_SOURCE_COLUMNS if c in _PRESENT}
+_VECTOR_FEATURES = {
+    "built": ["city", "district", *(n for n in _SOURCE_OF if n not in fv.NOT_FEATURES)],
+    "land": [n for n in fv.LAND_FEATURES if n in ("city", "district") or n in _SOURCE_OF],
+}
+
+
+def _feature_sql(name: str) -> str:
+    if name in ("city", "district"):
+        return f"{name}_code"
+    source = _SOURCE_OF[name]
+    return f"({source.removesuffix('_na')} IS NULL)::INT" if source.endswith("_na") else f"coalesce({source}, 0)"
+
+
+@query(
+    "K2_feature_vectors",
+    f"{WITH_LE}, g AS (SELECT l.*, estimate_market AS market, coalesce(district, 'none') AS place FROM l JOIN e USING (id)), c AS (SELECT *, dense_rank() OVER "
+    "(PARTITION BY market ORDER BY city) - 1 AS city_code, dense_rank() OVER (PARTITION BY market ORDER BY place) - 1 AS district_code FROM g) "
+    + " UNION ALL ".join(
+        f"SELECT '{m}' AS market, {i}::INT AS at, '{n}' AS feature, round(sum({_feature_sql(n)})::DOUBLE, 2) AS total, round(sum({_feature_sql(n)} * ln(1 + price))::DOUBLE, 2) "
+        f"AS weighted FROM c WHERE market = '{m}'"
+        for m, names in _VECTOR_FEATURES.items()
+        for i, n in enumerate(names)
+    ),
+)
+def _(spark, sf):
+    """Every position of the encoded vectors, plain and weighted by the price, so that values out of place would show."""
+    parts = []
+    for market in MARKETS:
+        encoded = models.encode(_rows(spark, sf), market)
+        values = encoded.rows.select("price", F.posexplode(vector_to_array("features")).alias("at", "v"))
+        names = F.element_at(F.array(*map(F.lit, encoded.features)), F.col("at") + 1).alias("feature")
+        sums = [F.round(F.sum("v"), 2).alias("total"), F.round(F.sum(F.col("v") * F.log1p("price")), 2).alias("weighted")]
+        parts.append(values.groupBy("at").agg(*sums).select(F.lit(market).alias("market"), "at", names, "total", "weighted"))
+    return _union(parts)

@@ -279,5 +279,32 @@ MODEL_RANK = {"gbt": 1, "linear": 2, "ridge": 3, "lasso": 4}
 # Letters folded to one spelling, and their replacements one for one.
 CONTENT_LETTERS_FROM = "إأآٱى"
 CONTENT_LETTERS_TO = "ااااي"
+FLAG_LETTERS_FROM = "إأآٱىةؤئ"
+FLAG_LETTERS_TO = "اااايهوي"
 SEARCH_LETTERS_FROM = "إأآة"
 SEARCH_LETTERS_TO = "اااه"
+
+# Fixed values of the price models: columns that are no features, columns taken from listings, the search grid, the defaults
+NOT_FEATURES = ("id", "price", "estate_type", "market", "true_log", "living_rooms_missing")
+MODEL_SOURCE_COLUMNS = (
+    "beds", "livings", "wc", "area", "street_width", "furnished", "f_ac", "f_parking", "f_pool",
+    "f_kitchen", "f_driver", "f_basement", "f_garden", "f_two_entr", "f_corner", "f_near_masjid",
+    "f_investment", "f_negotiable", "f_urgent", "f_near_park", "f_yard", "beds_na", "livings_na",
+    "wc_na", "furnished_na", "street_width_na",
+)
+BOOSTER_GRID = {
+    "maxIter": (300, 500, 800, 1200),
+    "stepSize": (0.02, 0.03, 0.05),
+    "maxDepth": (4, 5, 6, 8),
+    "minInstancesPerNode": (10, 20, 50),
+    "subsamplingRate": (0.7, 0.8),
+    "featureSubsetStrategy": ("0.6", "0.8"),
+}
+BOOSTER_PARAMS = {
+    "maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 20,
+    "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
+}
+
+# Fixed values of the preparation: text flags that are not kept, columns that a model row must have
+UNUSED_TEXT_FLAGS = ("f_ac_central", "f_elevator", "f_maid", "f_roof")
+REQUIRED_FOR_MODELS = ("title", "content", "estate_type", "area", "beds", "street_width", "age", "furnished")
