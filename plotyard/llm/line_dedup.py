@@ -241,7 +241,8 @@ def linked_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: i
     probes = probes.unionByName(segments.filter("shared").select("key", (b * 2 + 1).alias("probing"), "common"))
     segments_of = segments.drop("shared")
     wanted = probes.select(a.alias("id")).unionByName(segments.select(b.alias("id"))).distinct()
-    texts = lines.join(wanted, "id", "left_semi").select("id", "line", "n", letter_counts(F.col("line")).alias("letters"))
+    # ids that grow with the input are merged at every size, never broadcast
+    texts = lines.join(wanted.hint("merge"), "id", "left_semi").select("id", "line", "n", letter_counts(F.col("line")).alias("letters"))
     texts = hand_over(texts, "met-texts")
     release_shuffles(spark)
     letters = lambda rows, line, side: rows.filter(~F.col("common")).drop("common").withColumn("id", line).join(
@@ -359,7 +360,7 @@ def without_duplicate_lines(
     gone = duplicate_lines(numbered, threshold, min_chars, row).filter("n_removed > 0")
     gone = gone.select(F.col("doc_row").alias(row), F.col("removed").alias(removed))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col(removed), i)), "\n")
-    joined = numbered.join(gone, row, "left")
+    joined = numbered.join(gone.hint("merge"), row, "left")  # grows with the input: never broadcast
     joined = joined.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept))
     left = joined.filter(F.col(removed).isNull() | F.col("text").rlike(r"[^\s]"))
     if "n_chars" in documents.columns:

@@ -260,4 +260,5 @@ def one_per_class(documents: DataFrame, numerator: int = 4, denominator: int = 5
     stays = hand_over(stays, "first-of-class")
     release_shuffles(documents.sparkSession)
     discard(classified)
-    return numbered.join(stays, row, "left_semi").select(*documents.columns)
+    # a row for each row that stays: merged at every size, never broadcast
+    return numbered.join(stays.hint("merge"), row, "left_semi").select(*documents.columns)
