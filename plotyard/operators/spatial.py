@@ -9,9 +9,10 @@ geometries is a leaf. A search then walks down the pyramid as a series of equi-j
 * a box entirely within a radius adds its count without being opened; one entirely outside is
   dropped; only boxes cut by the circle are opened.
 
-The coarse part of the walk is done once per occupied query cell instead of once per listing, so
-it costs with the occupied area. No step pairs all listings of a cell with all its features, and
-the result is exact.
+Listings are answered in query cells, small where listings are dense. The walk is done once per
+query cell, its coarse part once per cell of 4,096 m, and ends in the features that a listing of the
+cell must be measured to. Listings then meet these by cell, so what is shuffled grows with listings
+and cells, never with pairs of a listing and a feature. The result is exact.
 """
 
 from __future__ import annotations
@@ -19,18 +20,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plotyard.fixed_values import POI_CATEGORIES, POI_CATEGORY_NAMES, POI_RADII_M
 from plotyard.functions import geo
-from plotyard.session import BROADCAST_MAX_ROWS, cut_lineage
+from plotyard.session import BROADCAST_MAX_ROWS, cut_lineage, hand_over
 
 LEAF_ROWS = 32
 START_BOXES = 256  # boxes per category a walk starts from
 _TOP_BITS = 22  # level 0 cells are 2**22 m wide; each level divides the width by 4
 _LEVELS = 11
 _QUERY_LEVEL = 5  # query cells of 4,096 m share the coarse part of the walk
+_FINEST_LEVEL = 8  # query cells are 64 m wide at least
+CELL_ROWS = 1_024  # points of a query cell that is not divided further
+PART_ROWS = 2_048  # points of a cell of the finest level that are answered together
+PAIRS_AT_ONCE = 500_000  # pairs of a point and a feature or edge in one array
+_CELL = ("cell_level", "cell_x", "cell_y", "cell_part")
 _BOX = ("x0", "y0", "x1", "y1")
 _SLACK = 1 + 1e-9
 
@@ -308,18 +318,60 @@ def _search_limit(radii: Sequence[int]) -> Column:
     return F.greatest(F.col("bound"), F.lit(float(max(radii)))) * _SLACK
 
 
-def _located(points: DataFrame, index: FeatureIndex, radii: Sequence[int]) -> DataFrame:
-    """Boxes that matter to each point: the coarse walk per query cell, then the fine one."""
-    size = _size(_QUERY_LEVEL)
-    placed = points.withColumns(
-        {"qcx": F.floor(F.col("x") / size), "qcy": F.floor(F.col("y") / size)}
+def _query_cells(points: DataFrame) -> DataFrame:
+    """One row per query cell: its box and its points.
+
+    A cell of 4,096 m is divided while it holds more than CELL_ROWS points, down to 64 m; what is still
+    crowded then, copies of one place for instance, is dealt by id into parts of PART_ROWS points."""
+    levels = range(_QUERY_LEVEL, _FINEST_LEVEL + 1)
+    fine = _size(_FINEST_LEVEL)
+    gridded = points.withColumns(
+        {"fx": F.floor(F.col("x") / fine).cast("int"), "fy": F.floor(F.col("y") / fine).cast("int")}
+    )
+    held = gridded.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("rows"))
+    above = {
+        level: [F.shiftright(c, 2 * (_FINEST_LEVEL - level)).alias(f"{c}{level}") for c in ("fx", "fy")]
+        for level in levels
+    }
+    held = held.select("fx", "fy", "rows", *[c for pair in above.values() for c in pair])
+    # windows within a cell of 4,096 m: at most 4,096 rows, as the finest cells are counted already
+    keys: list[str] = []
+    for level in levels:
+        keys += [f"fx{level}", f"fy{level}"]
+        held = held.withColumn(f"rows{level}", F.sum("rows").over(Window.partitionBy(*keys)))
+    level = F.lit(_FINEST_LEVEL)
+    cell_x, cell_y, rows = F.col("fx"), F.col("fy"), F.col(f"rows{_FINEST_LEVEL}")
+    for coarser in reversed(levels[:-1]):
+        whole = F.col(f"rows{coarser}") <= CELL_ROWS
+        level = F.when(whole, F.lit(coarser)).otherwise(level)
+        cell_x = F.when(whole, F.col(f"fx{coarser}")).otherwise(cell_x)
+        cell_y = F.when(whole, F.col(f"fy{coarser}")).otherwise(cell_y)
+        rows = F.when(whole, F.col(f"rows{coarser}")).otherwise(rows)
+    parts = F.ceil(rows / PART_ROWS).cast("int")
+    of_cell = held.select(
+        "fx", "fy", level.alias("cell_level"), cell_x.alias("cell_x"), cell_y.alias("cell_y"), parts.alias("parts")
+    )
+    placed = gridded.join(of_cell, ["fx", "fy"]).select(
+        "id", "x", "y", "cell_level", "cell_x", "cell_y",
+        F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("cell_part"),
+    )
+    cells = placed.groupBy(*_CELL).agg(
+        F.min("x").alias("qx0"), F.min("y").alias("qy0"), F.max("x").alias("qx1"), F.max("y").alias("qy1"),
+        F.collect_list(F.struct("id", "x", "y")).alias("points"),
     )
-    cells = placed.groupBy("qcx", "qcy").agg(
-        F.min("x").alias("qx0"), F.min("y").alias("qy0"), F.max("x").alias("qx1"), F.max("y").alias("qy1")
+    return hand_over(cells, "query-cells")
+
+
+def _located(cells: DataFrame, index: FeatureIndex, radii: Sequence[int]) -> DataFrame:
+    """Boxes that matter to each query cell: a coarse walk per cell of 4,096 m, then the fine one."""
+    placed = cells.withColumns(
+        {q: F.expr(f"shiftright({c}, 2 * (cell_level - {_QUERY_LEVEL}))") for q, c in (("qcx", "cell_x"), ("qcy", "cell_y"))}
     )
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(parts, "qcx", "qcy")
-    state = _start(cells, index, ["qcx", "qcy"], radii)
+    wide = placed.groupBy("qcx", "qcy").agg(
+        F.min("qx0").alias("qx0"), F.min("qy0").alias("qy0"), F.max("qx1").alias("qx1"), F.max("qy1").alias("qy1")
+    )
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = _start(wide.repartition(parts, "qcx", "qcy"), index, ["qcx", "qcy"], radii)
     coarse = F.col("e.internal") & (F.col("e.level") < _QUERY_LEVEL)
     for _ in range(max(0, min(index.deepest_internal + 1, _QUERY_LEVEL) - index.start_level)):
         state = _step(state, index, ["qcx", "qcy"], radii, coarse)
@@ -327,77 +379,136 @@ def _located(points: DataFrame, index: FeatureIndex, radii: Sequence[int]) -> Da
     rows = state.limit(BROADCAST_MAX_ROWS // 4 + 1).count()
     shared = state.drop(*[f"q{b}" for b in _BOX])
     shared = F.broadcast(shared) if rows <= BROADCAST_MAX_ROWS // 4 else shared
-    # spread by id before the heavy part; the final aggregation by id then needs no other shuffle
-    fine = (
-        placed.repartition(parts, "id")
-        .join(shared, ["qcx", "qcy"])
-        .withColumns({"qx0": F.col("x"), "qy0": F.col("y"), "qx1": F.col("x"), "qy1": F.col("y")})
-        .drop("qcx", "qcy", "x", "y")
-    )
+    fine = placed.repartition(parts, *_CELL).join(shared, ["qcx", "qcy"]).drop("qcx", "qcy")
     for _ in range(max(0, index.deepest_internal + 1 - max(_QUERY_LEVEL, index.start_level))):
-        fine = _step(fine, index, ["id"], radii, F.col("e.internal"))
+        fine = _step(fine, index, list(_CELL), radii, F.col("e.internal"))
     return fine
 
 
-def _object_rows(points: DataFrame, index: FeatureIndex, radii: Sequence[int]) -> DataFrame:
-    """(id, category, distance, weight, done, counts so far) for every feature still in question."""
-    located = _located(points, index, radii)
-    counts = [f"n{r}" for r in radii]
-    exploded = located.select(
-        "id", "category", *[f"q{b}" for b in _BOX], "bound", *counts, F.explode("front").alias("e")
-    ).filter(_gap(F.col("e")) <= _search_limit(radii))
-    rows = exploded.select(
-        "id", "category", "qx0", "qy0", "bound", *counts,
-        F.col("e.level").alias("level"), F.col("e.cx").alias("cx"), F.col("e.cy").alias("cy"),
+def _candidates(cells: DataFrame, index: FeatureIndex, radii: Sequence[int]) -> DataFrame:
+    """Per query cell and category the features that its points must be measured to: those that may be
+    nearest to one of them or may lie in a circle and are not counted yet."""
+    located = _located(cells, index, radii)
+    carried = [*_CELL, *[f"q{b}" for b in _BOX], "category", *[f"n{r}" for r in radii], "bound"]
+    boxes = located.select(*carried, F.explode("front").alias("e")).filter(_gap(F.col("e")) <= _search_limit(radii))
+    boxes = boxes.select(
+        *carried, F.col("e.level").alias("level"), F.col("e.cx").alias("cx"), F.col("e.cy").alias("cy"),
         F.col("e.done").alias("done"),
-    ).join(index.offered(index.leaf_objects), ["category", "level", "cx", "cy"])
-    px, py = F.col("qx0"), F.col("qy0")
-    flat = geo.box_gap(px, py, px, py, *[F.col(b) for b in _BOX])
-    # beyond the bound and every radius the box distance says enough: it is never the nearest
-    relevant = flat <= _search_limit(radii)
-    distance = F.when(F.col("edges").isNull() | ~relevant, flat).otherwise(
-        geo.edges_distance(px, py, F.col("edges"), F.col("is_area"))
-    )
-    return rows.select("id", "category", *counts, "done", "weight", distance.alias("d"))
-
-
-def _measures(radii: Sequence[int], only: Column | None = None) -> list[Column]:
-    def scoped(value: Column) -> Column:
-        return value if only is None else F.when(only, value)
-
-    out = [F.round(F.min(scoped(F.col("d"))), 1)]
-    for r in radii:
-        hit = (F.lit(float(r)) < F.col("done")) & (F.col("d") <= float(r))
-        out.append(
-            (
-                F.max(scoped(F.col(f"n{r}"))) + F.sum(scoped(F.when(hit, F.col("weight")).otherwise(0)))
-            ).cast("int")
-        )
-    return out
+    )
+    opened = boxes.join(index.offered(index.leaf_objects), ["category", "level", "cx", "cy"])
+    feature = F.struct(*[F.col(c) for c in (*_BOX, "edges", "is_area", "weight", "done")]).alias("e")
+    needed = _needed(_gap(F.col("e")), F.col("bound"), F.col("e.done"), radii)
+    # dealt by query cell once: neither the grouping nor the join with the points shuffles it again
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = opened.select(*carried, feature).filter(needed).drop("bound", *[f"q{b}" for b in _BOX])
+    return kept.repartition(parts, *_CELL).groupBy(*_CELL, "category").agg(
+        *[F.max(f"n{r}").alias(f"n{r}") for r in radii], F.collect_list("e").alias("objects")
+    )
+
+
+def _edge_distances(px: np.ndarray, py: np.ndarray, starts: np.ndarray, edges: Sequence[np.ndarray], area: np.ndarray) -> np.ndarray:
+    """Distances of points to geometries given by their edges, whose first ones are at ``starts``; the same
+    steps as ``geo.edges_distance``."""
+    x1, y1, x2, y2 = edges
+    dx, dy = x2 - x1, y2 - y1
+    px, py = px[:, None], py[:, None]
+    length2 = dx * dx + dy * dy
+    t = np.divide((px - x1) * dx + (py - y1) * dy, length2, out=np.zeros((len(px), len(dx))), where=length2 != 0)
+    t = np.clip(t, 0.0, 1.0)
+    away_x, away_y = px - (x1 + t * dx), py - (y1 + t * dy)
+    nearest = np.fmin.reduceat(np.sqrt(away_x * away_x + away_y * away_y), starts, axis=1)
+    at_x = x1 + np.divide((py - y1) * dx, dy, out=np.zeros(t.shape), where=dy != 0)
+    crossings = np.add.reduceat(((y1 > py) != (y2 > py)) & (px < at_x), starts, axis=1, dtype=np.int64)
+    return np.where(area & (crossings % 2 == 1), 0.0, nearest)
+
+
+def _measure_cells(radii: Sequence[int]):
+    """Arrow task: rows of a query cell and a category with its points and features to a row per point."""
+
+    def flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        return column.flatten(), np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+
+    def numbers(struct: pa.StructArray, *names: str) -> list[np.ndarray]:
+        return [pc.struct_field(struct, [n]).to_numpy(zero_copy_only=False) for n in names]
+
+    def measure(batches):
+        for batch in batches:
+            points, point_ends = flat(batch.column("points"))
+            objects, object_ends = flat(batch.column("objects"))
+            edges, edge_ends = flat(pc.struct_field(objects, ["edges"]))
+            x, y = numbers(points, "x", "y")
+            *boxes, area, weight, done = numbers(objects, *_BOX, "is_area", "weight", "done")
+            segments = numbers(edges, "x1", "y1", "x2", "y2")
+            before = np.stack([batch.column(f"n{r}").to_numpy(zero_copy_only=False) for r in radii])
+            nearest, counts = np.empty(len(x)), np.empty((len(radii), len(x)), np.int64)
+            for row in range(batch.num_rows):
+                first, last = object_ends[row], object_ends[row + 1]
+                x0, y0, x1, y1 = (b[first:last] for b in boxes)
+                heavy, limits = weight[first:last], done[first:last]
+                ends = edge_ends[first : last + 1]
+                edged = np.flatnonzero(np.diff(ends))
+                width = max(1, last - first, int(ends[-1] - ends[0]))
+                step = max(1, PAIRS_AT_ONCE // width)  # bounds the memory of a crowded cell
+                for low in range(point_ends[row], point_ends[row + 1], step):
+                    part = slice(low, min(low + step, point_ends[row + 1]))
+                    px, py = x[part], y[part]
+                    dx = np.maximum(np.maximum(x0 - px[:, None], px[:, None] - x1), 0.0)
+                    dy = np.maximum(np.maximum(y0 - py[:, None], py[:, None] - y1), 0.0)
+                    d = np.sqrt(dx * dx + dy * dy)
+                    if len(edged):
+                        d[:, edged] = _edge_distances(
+                            px, py, ends[edged] - ends[0], [e[ends[0] : ends[-1]] for e in segments], area[first:last][edged]
+                        )
+                    nearest[part] = d.min(axis=1)
+                    for k, r in enumerate(radii):
+                        open_ = np.flatnonzero(limits > r)
+                        counts[k, part] = before[k, row] + (d[:, open_] <= r).astype(float) @ heavy[open_].astype(float)
+            of_row = np.repeat(np.arange(batch.num_rows), np.diff(point_ends))
+            yield pa.RecordBatch.from_arrays(
+                [pc.struct_field(points, ["id"]), batch.column("category").take(pa.array(of_row)), pa.array(nearest), *map(pa.array, counts)],
+                names=["id", "category", "d", *[f"count_{r}m" for r in radii]],
+            )
+
+    return measure
+
+
+def _described(points: DataFrame, index: FeatureIndex, radii: Sequence[int]) -> DataFrame:
+    """A row per point and category, distances not rounded yet. Points and features meet by query cell, and a task measures a cell's
+    points to its features, so no row per point and feature is ever made."""
+    cells = _query_cells(points)
+    met = cells.select(*_CELL, "points").join(_candidates(cells.drop("points"), index, radii), list(_CELL))
+    counts = [f"count_{r}m" for r in radii]
+    return met.select("category", *[f"n{r}" for r in radii], "points", "objects").mapInArrow(
+        _measure_cells(radii),
+        T.StructType(
+            [points.schema["id"], T.StructField("category", T.StringType()), T.StructField("d", T.DoubleType())]
+            + [T.StructField(f"count_{r}m", T.LongType()) for r in radii]
+        ),
+    )
 
 
 def describe_points(
     points: DataFrame, index: FeatureIndex, radii: Sequence[int] = POI_RADII_M
 ) -> DataFrame:
     """Long form: one row per (id, category) with the distance in metres and a count per radius.
-    ``points`` carries id, lat, lng."""
-    names = ["distance_m", *[f"count_{r}m" for r in radii]]
-    rows = _object_rows(_project(points), index, radii)
-    return rows.groupBy("id", "category").agg(
-        *[c.alias(n) for c, n in zip(_measures(radii), names)]
+    ``points`` carries id, lat, lng; rows of one id count together."""
+    return _described(_project(points), index, radii).groupBy("id", "category").agg(
+        F.round(F.min("d"), 1).alias("distance_m"),
+        *[F.sum(f"count_{r}m").cast("int").alias(f"count_{r}m") for r in radii],
     )
 
 
 def enrich_listings(
     listings: DataFrame, index: FeatureIndex, radii: Sequence[int] = POI_RADII_M
 ) -> DataFrame:
-    """Wide form: id, then dist_<category>_m and count_<category>_<r>m; one shuffle on id."""
+    """Wide form: id, then dist_<category>_m and count_<category>_<r>m; rows of one id count together."""
     aggregates = []
     for category in index.categories:
-        names = [f"dist_{category}_m", *[f"count_{category}_{r}m" for r in radii]]
-        measures = _measures(radii, F.col("category") == category)
-        aggregates += [c.alias(n) for c, n in zip(measures, names)]
-    return _object_rows(_project(listings), index, radii).groupBy("id").agg(*aggregates)
+        this = F.col("category") == category
+        aggregates.append(F.round(F.min(F.when(this, F.col("d"))), 1).alias(f"dist_{category}_m"))
+        aggregates += [F.sum(F.when(this, F.col(f"count_{r}m"))).cast("int").alias(f"count_{category}_{r}m") for r in radii]
+    return _described(_project(listings), index, radii).groupBy("id").agg(*aggregates)
 
 
 def _project(points: DataFrame) -> DataFrame:

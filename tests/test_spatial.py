@@ -205,3 +205,43 @@ def test_unknown_geometries_are_counted_and_refused(spark, tmp_path):
         io.read_features(spark, {"l": str(tmp_path / "a.json")})
     kept = io.read_features(spark, {"l": str(tmp_path / "a.json")}, refuse_unknown=False).collect()
     assert [r["rings"] is not None for r in kept] == [False, False, False, True]
+
+
+def test_crowded_cells_and_copies_equal_brute_force(spark, monkeypatch):
+    """Cells divided to the finest, one place held by many listings, and listings far from every feature."""
+    monkeypatch.setattr(spatial, "CELL_ROWS", 4)
+    monkeypatch.setattr(spatial, "PART_ROWS", 8)
+    monkeypatch.setattr(spatial, "PAIRS_AT_ONCE", 50)
+    rng = random.Random(11)
+    rows = _features(rng, 400)
+    points = [(i, 24.7, 46.7) for i in range(60)]
+    points += [(100 + i, 24.7 + rng.gauss(0, 0.003), 46.7 + rng.gauss(0, 0.003)) for i in range(60)]
+    points += [(200 + i, rng.uniform(16, 33), rng.uniform(34, 56)) for i in range(10)]
+    features = spark.createDataFrame(
+        rows, "feature_id long, category string, kind string, rings array<array<struct<lng:double,lat:double>>>"
+    )
+    index = spatial.build_index(spatial.to_objects(features))
+    df = spark.createDataFrame(points, "id long, lat double, lng double")
+    got = {(r["id"], r["category"]): r for r in spatial.describe_points(df, index).collect()}
+    assert len(got) == len(points) * 4
+    for pid, lat, lng in points:
+        px, py = _xy(lat, lng)
+        for cat in index.categories:
+            ds = [_distance(px, py, r[3][0]) for r in rows if r[1] == cat]
+            assert got[(pid, cat)]["distance_m"] == pytest.approx(min(ds), abs=0.051)
+            assert [got[(pid, cat)][f"count_{r}m"] for r in (500, 1000, 2000)] == [
+                sum(d <= r for d in ds) for r in (500, 1000, 2000)
+            ]
+
+
+def test_no_row_per_listing_and_feature_is_planned(spark):
+    """Listings meet features by query cell; what is made per pair would grow with their product."""
+    rows = _features(random.Random(2), 80)
+    features = spark.createDataFrame(
+        rows, "feature_id long, category string, kind string, rings array<array<struct<lng:double,lat:double>>>"
+    )
+    index = spatial.build_index(spatial.to_objects(features))
+    df = spark.createDataFrame([(1, 24.7, 46.7)], "id long, lat double, lng double")
+    plan = spatial.describe_points(df, index)._jdf.queryExecution().optimizedPlan().toString()
+    after = plan[: plan.index("MapInArrow")]
+    assert "Generate" not in after and "Join" not in after
