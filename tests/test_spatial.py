@@ -1,6 +1,7 @@
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -245,3 +246,16 @@ def test_no_row_per_listing_and_feature_is_planned(spark):
     plan = spatial.describe_points(df, index)._jdf.queryExecution().optimizedPlan().toString()
     after = plan[: plan.index("MapInArrow")]
     assert "Generate" not in after and "Join" not in after
+
+
+def test_a_point_is_tested_against_open_triangles_only(monkeypatch):
+    points = np.unique(np.random.default_rng(4).uniform(0, 1, (2000, 2)), axis=0)
+    tested = []
+    found = np.flatnonzero
+    monkeypatch.setattr(outlines.np, "flatnonzero", lambda a: tested.append(a.size) or found(a))
+    tris = outlines._triangulate(points)
+    assert sum(tested) < 600 * len(points)  # all triangles so far would be about 2,000 a point
+    hull = outlines._closed_ring(
+        {e for e, n in Counter(e for t in tris for e in outlines._edges(tuple(int(v) for v in t))).items() if n == 1}, points
+    )
+    assert len(tris) == 2 * len(points) - 2 - (len(hull) - 1)  # Euler's count of a whole triangulation
