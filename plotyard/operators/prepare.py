@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from plotyard import fixed_values as fv
 from plotyard.functions import labels, pricing, text
-from plotyard.session import spread
+from plotyard.session import spread_heavy
 
 
 def category_dimension(spark: SparkSession) -> DataFrame:
@@ -114,7 +114,7 @@ def with_unit_price(df: DataFrame) -> DataFrame:
 
 def with_text_flags(df: DataFrame, pack: Mapping[str, str] | None = None) -> DataFrame:
     """Keyword, park, garden and yard flags from title and content, in one projection."""
-    source = spread(df, *df.columns[:1]).withColumn(
+    source = spread_heavy(df, *df.columns[:1]).withColumn(
         "__text", text.strip_negations(text.normalize_flags(text.title_and_content()))
     )
     flags = text.keyword_flags(F.col("__text"), dict(pack or fv.FLAG_PATTERNS))

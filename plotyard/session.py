@@ -100,6 +100,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 SPREAD_BYTES_PER_TASK = 32 << 20
+HEAVY_BYTES_PER_TASK = 4 << 20  # of the input files, for work of several CPU seconds a megabyte
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -115,3 +116,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if input_bytes(df) >= cores * SPREAD_BYTES_PER_TASK:
         return df
     return df.repartition(cores, *keys)
+
+
+def spread_heavy(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows by ``keys`` before work that takes several seconds a megabyte, into tasks of about
+    HEAVY_BYTES_PER_TASK each: a split or row group of 128 MB would keep one task busy for many minutes."""
+    tasks = -(-input_bytes(df) // HEAVY_BYTES_PER_TASK)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, tasks), *keys)

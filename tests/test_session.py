@@ -54,3 +54,16 @@ def test_hand_over_and_removal(spark):
         spark.read.parquet(path)
     with pytest.raises(ValueError):
         session.remove_path(spark, "/tmp/else")
+
+
+def test_text_flags_are_dealt_into_small_tasks(spark, monkeypatch):
+    from plotyard import session
+    from plotyard.operators import prepare
+
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([(i, "شقه", "مسبح") for i in range(20)], "id long, title string, content string").coalesce(1)
+    monkeypatch.setattr(session, "input_bytes", lambda _: cores * session.SPREAD_BYTES_PER_TASK)
+    flagged = prepare.with_text_flags(df)
+    tasks = cores * session.SPREAD_BYTES_PER_TASK // session.HEAVY_BYTES_PER_TASK
+    assert flagged.rdd.getNumPartitions() == tasks
+    assert flagged.count() == 20
