@@ -149,10 +149,18 @@ def _exact() -> Column:
 def match(listings: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs of a distinct search ``rep`` and a matching listing, and the
     ``search_id`` to ``rep`` mapping. Searches that ask the same are matched once."""
+    reps, members = _distinct(searches)
+    return _pairs(listings, cut_lineage(_search_keys(reps))), members
+
+
+def _distinct(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = canonical(searches)
     reps = wanted.groupBy(*CRITERIA).agg(F.min("search_id").alias("rep"))
-    members = null_safe_join(wanted, reps, CRITERIA).select("search_id", "rep")
-    keyed = cut_lineage(_search_keys(reps))
+    return reps, null_safe_join(wanted, reps, CRITERIA).select("search_id", "rep")
+
+
+def _pairs(listings: DataFrame, keyed: DataFrame, salted: bool = True) -> DataFrame:
+    """Matches of listings and the searches of ``keyed`` (written ``_search_keys``)."""
     # a shape is six yes/no marks, so at most 64 of them reach the driver
     shapes = sorted(r[0] for r in keyed.select("k_shape").distinct().collect())
     offered = _listing_keys(
@@ -168,13 +176,13 @@ def match(listings: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFram
     keys = list(_KEYS)
     if keyed.count() <= BROADCAST_MAX_ROWS:
         criteria = F.broadcast(criteria)
-    else:
+    elif salted:
         # a key many listings share is spread over salts, its searches repeated per salt
         offered = offered.withColumn("k_salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
         criteria = criteria.withColumn("k_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         keys.append("k_salt")
     pairs = offered.join(criteria, keys).filter(_exact())
-    return pairs.select("rep", "id", "price", "last_update"), members
+    return pairs.select("rep", "id", "price", "last_update")
 
 
 # --- counting without pairs ------------------------------------------------------------------
@@ -278,10 +286,49 @@ def match_counts(listings: DataFrame, searches: DataFrame) -> DataFrame:
     )
 
 
+_FIRST_SLICES = (500, 4_000, 32_000)  # newest listings tried first; later slices are eight times as many
+_CUT_ROWS = 20_000  # rows that choose the later cuts
+
+
+def _cuts(listings: DataFrame) -> list[tuple[object, object]]:
+    """(last_update, id) of the last listing of every slice but the last one. They share out the work and change no result."""
+    rows, newest = listings.select("last_update", "id").filter("last_update IS NOT NULL"), (F.col("last_update").desc(), F.col("id"))
+    total = rows.count()
+    ranks = [n for n in _FIRST_SLICES if n < total]
+    first = rows.orderBy(*newest).limit(ranks[-1]).withColumn("rank", F.row_number().over(Window.orderBy(*newest))) if ranks else None
+    cuts = [(r.last_update, r.id) for r in first.filter(F.col("rank").isin(ranks)).orderBy("rank").collect()] if ranks else []
+    later, n = [], _FIRST_SLICES[-1] * 8
+    while n < total:
+        later.append(n)
+        n *= 8
+    if later:
+        every = max(1, total // _CUT_ROWS)
+        marks = rows.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(*newest).collect()  # about _CUT_ROWS
+        cuts += [(marks[n // every].last_update, marks[n // every].id) for n in later if n // every < len(marks)]
+    return cuts
+
+
 def newest_matches(listings: DataFrame, searches: DataFrame, n: int = 10) -> DataFrame:
-    """Top-n newest listings per search. The rank limit is applied within each partition first,
-    so a search that matches most listings ships at most n rows per partition."""
-    pairs, members = match(listings, searches)
+    """Top-n newest listings per search. Searches meet the newest listings first, in slices of growing size, and one that has
+    n hits meets no older slice; a small slice needs no salts; so a broad search makes few pairs, and only narrow ones come to the last slice."""
+    reps, members = _distinct(searches)
+    keyed = cut_lineage(_search_keys(reps))
     order = Window.partitionBy("rep").orderBy(F.col("last_update").desc(), F.col("id"))
-    top = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return members.join(top, "rep").select("search_id", "rank", "id", "price", "last_update")
+    top = lambda pairs: pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+    def within(cut: tuple[object, object]) -> Column:
+        updated, id_ = (F.lit(v) for v in cut)
+        return F.coalesce((F.col("last_update") > updated) | ((F.col("last_update") == updated) & (F.col("id") <= id_)), F.lit(False))
+
+    found, earlier = None, F.lit(False)
+    for cut in [*_cuts(listings), None]:
+        until = within(cut) if cut else F.lit(True)
+        hits = cut_lineage(top(_pairs(listings.filter(until & ~earlier), keyed, salted=cut is None)).drop("rank"))
+        found = hits if found is None else found.unionByName(hits)
+        if cut is None:
+            break
+        served = found.groupBy("rep").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= n)
+        keyed, earlier = cut_lineage(keyed.join(served, "rep", "left_anti")), until
+        if keyed.isEmpty():
+            break
+    return members.join(top(found), "rep").select("search_id", "rank", "id", "price", "last_update")

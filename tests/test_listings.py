@@ -275,3 +275,28 @@ def test_a_lookup_reads_one_row_group(spark, tmp_path):
         scan = plan.collectLeaves().head()
         read[name] = scan.metrics().apply("numOutputRows").value()
     assert read["plain"] == 40_000 and read["filtered"] <= 8_000
+
+
+def test_newest_matches_make_few_pairs_and_none_is_missed(spark, monkeypatch):
+    i = F.col("id")
+    listings = spark.range(3000).select(
+        "id", F.lit(24.0).alias("lat"), F.lit(46.0).alias("lng"), (i * 1.0 + 1).alias("price"), F.lit(100.0).alias("area"), F.lit(2).alias("beds"),
+        F.lit("sell").alias("estate_benefit"), F.lit("villa").alias("estate_type"), F.lit("c").alias("city"), F.lit("d").alias("district"),
+        F.when(i % 10 > 0, (i * 7919 % 40).cast("int")).alias("last_update"),
+    )
+    nothing = [F.lit(None).cast("string" if c in ("purpose", "estate_type", "city", "district") else "double").alias(c) for c in searches.CRITERIA if c != "price_min"]
+    saved = spark.range(30).select(F.col("id").alias("search_id"), (F.col("id") * 103.0).alias("price_min"), *nothing)
+    made, pairs = [], searches._pairs
+
+    def counted(*args, **kwargs):
+        made.append(pairs(*args, **kwargs).count())
+        return pairs(*args, **kwargs)
+
+    monkeypatch.setattr(searches, "_FIRST_SLICES", (20, 100))
+    monkeypatch.setattr(searches, "_CUT_ROWS", 500)
+    monkeypatch.setattr(searches, "_pairs", counted)
+    got = {(r.search_id, r["rank"]): r.id for r in searches.newest_matches(listings, saved, 5).collect()}
+    rows = sorted(((r.last_update is None, -(r.last_update or 0), r.id, r.price) for r in listings.collect()))
+    wanted = {(k, j + 1): x[2] for k in range(30) for j, x in enumerate([x for x in rows if x[3] >= k * 103.0][:5])}
+    assert got == wanted and len(made) > 2
+    assert sum(made) < 3000  # all pairs are about 45,000
