@@ -1,6 +1,6 @@
 """Saved searches against listings: which listings match which search, counts and newest hits.
 
-Counts come from a cube of bins, of which only the edges of a search are opened. For the listings themselves:
+Counts are made block by block where searches and listings meet, without pairs. For the listings themselves:
 every criterion may be absent, and matching is an equi-join, not a comparison of every listing with
 every search: a search carries only the keys it sets (purpose, type, city, district, grid cells
 of its circle, price bins of its range) and its *shape* says which. A listing offers one key per
@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plotyard import fixed_values as fv
 from plotyard.functions.predicates import finite
 from plotyard.operators.joins import null_safe_join
+from plotyard.operators.range_counts import count_blocks
 from plotyard.session import BROADCAST_MAX_ROWS, cut_lineage, spread
 
 CRITERIA = (
@@ -185,7 +187,8 @@ def _pairs(listings: DataFrame, keyed: DataFrame, salted: bool = True) -> DataFr
     return pairs.select("rep", "id", "price", "last_update")
 
 
-# --- counting without pairs ------------------------------------------------------------------
+# --- a cube of bins -----------------------------------------------------------------------------
+# Which bins count whole and which listings at edges are opened; ``match_counts`` does without it, as its rows grow with the shapes in use.
 # Listings are counted once in a cube: purpose, type, place, grid cell, price bin, area bin and beds, each only where the searches of a shape
 # set it. A search adds up the cube's rows that lie wholly within its ranges and its circle, and opens only those that an
 # edge of them cuts. So what is joined grows with the rows of the cube, which are bounded by its bins however many listings there are, and with
@@ -277,10 +280,71 @@ def counted_parts(listings: DataFrame, searches: DataFrame) -> tuple[DataFrame,
     return whole, opened, members
 
 
+# --- counting in blocks ----------------------------------------------------------------------
+# A search meets listings in one kind of place: the grid cells of its circle, else its city, else the whole table. A listing is in at
+# most one place of each kind, so it is sent three times whatever the searches set; a place of many listings is dealt to blocks, and
+# its searches go to each of them.
+
+BLOCK_ROWS = 1_000_000  # listings that a task holds at once
+
+
+def _places(rows: DataFrame) -> Column:
+    cell = [F.floor(F.col(c) * _CELLS_PER_DEGREE).cast("int").cast("string") for c in ("lat", "lng")]
+    kinds = F.array(F.lit("all"), F.concat(F.lit("city "), "city"), F.concat(F.lit("cell "), cell[0], F.lit(" "), cell[1]))
+    return F.explode(F.array_compact(kinds))
+
+
+def _asked_places() -> Column:
+    def cells(centre: str, delta: Column) -> Column:
+        # with room for rounding
+        low, high = (F.floor((F.col(centre) + d * (1 + 1e-9)) * _CELLS_PER_DEGREE).cast("int") for d in (-delta, delta))
+        return F.sequence(low, high)
+
+    rows = cells("near_lat", F.col("near_km") / fv.KM_PER_DEGREE)
+    columns = cells("near_lng", F.col("near_km") / _km_per_lng(F.col("near_lat")))
+    met = F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.concat_ws(" ", F.lit("cell"), y.cast("string"), x.cast("string")))))
+    by_city = F.when(F.col("city").isNotNull(), F.array(F.concat(F.lit("city "), "city"))).otherwise(F.array(F.lit("all")))
+    return F.explode(F.when(F.col("near_km").isNotNull(), met).otherwise(by_city))
+
+
+def block_counts(listings: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rep``, ``n``: matches of each distinct search in each block where it is met; a search without any may be missing."""
+    number = lambda c: F.col(c).cast("double")
+    rows = listings.select(
+        "id", F.col("estate_benefit").alias("purpose"), "estate_type", "city", "district", *[number(c).alias(c) for c in ("lat", "lng", "price", "area", "beds")]
+    )
+    placed = rows.withColumn("place", _places(rows))
+    asked = reps.withColumn("place", _asked_places())
+    sizes = placed.groupBy("place").agg(F.count(F.lit(1)).alias("rows")).join(asked.select("place").distinct(), "place")
+    sizes = cut_lineage(sizes.withColumn("parts", F.ceil(F.col("rows") / F.lit(BLOCK_ROWS)).cast("int")))
+    places, met = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    parts = sizes.select("place", "parts")
+    if places <= BROADCAST_MAX_ROWS:
+        parts = F.broadcast(parts)
+    block = lambda part: F.concat_ws(" ", part.cast("string"), "place").alias("block")
+    # a search's centre and least values are in the columns of the listings' own
+    limits = ("price_max", "area_max", "km", "km_per_lng", "km_per_lat")
+    kept = [F.col(c) for c in ("purpose", "estate_type", "city", "district")]
+    offered = placed.join(parts, "place").select(
+        block(F.pmod(F.xxhash64("id"), F.col("parts"))), F.lit(False).alias("asks"), *kept, *[F.col(c) for c in ("lat", "lng", "price", "area", "beds")],
+        *[F.lit(None).cast("double").alias(c) for c in limits], F.lit(None).cast(reps.schema["rep"].dataType).alias("rep"),
+    )
+    near = {"lat": "near_lat", "lng": "near_lng", "price": "price_min", "area": "area_min", "beds": "min_beds"}
+    met_by = asked.join(parts, "place").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met_by = met_by.select(
+        block(F.col("part")), F.lit(True).alias("asks"), *kept, *[F.col(c).alias(name) for name, c in near.items()], "price_max", "area_max",
+        F.col("near_km").alias("km"), _km_per_lng(F.col("near_lat")).alias("km_per_lng"), F.lit(fv.KM_PER_DEGREE).alias("km_per_lat"), "rep",
+    )
+    tasks = max(listings.sparkSession.sparkContext.defaultParallelism, -(-4 * met // BLOCK_ROWS))
+    dealt = offered.unionByName(met_by).repartition(tasks, "block")
+    ordered = dealt.sortWithinPartitions("block", "asks", "purpose", "estate_type", "city", "district", "beds", "lat", "lng", "km")
+    return ordered.mapInArrow(count_blocks, T.StructType([reps.schema["rep"], T.StructField("n", T.LongType())]))
+
+
 def match_counts(listings: DataFrame, searches: DataFrame) -> DataFrame:
-    """Matches per search, zero included, without a row per search and listing (see ``counted_parts``)."""
-    whole, opened, members = counted_parts(listings, searches)
-    counts = whole.unionByName(opened.select("rep", F.lit(1).cast("long").alias("n"))).groupBy("rep").agg(F.sum("n").alias("matches"))
+    """Matches per search, zero included, without a row per search and listing (see ``block_counts``)."""
+    reps, members = _distinct(searches)
+    counts = block_counts(listings, cut_lineage(reps)).groupBy("rep").agg(F.sum("n").alias("matches"))
     return members.join(counts, "rep", "left").select(
         "search_id", F.coalesce("matches", F.lit(0).cast("long")).alias("matches")
     )
