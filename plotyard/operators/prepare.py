@@ -15,9 +15,9 @@ from plotyard.session import spread_heavy
 
 
 def category_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(fv.CATEGORY_ROWS), "category int, estate_type string, estate_benefit string"
-    )
+    """The fixed category list as constants of the plan, so that its size is known before anything runs."""
+    rows = [F.struct(F.lit(c).cast("int").alias("category"), F.lit(t).cast("string").alias("estate_type"), F.lit(b).cast("string").alias("estate_benefit")) for c, t, b in fv.CATEGORY_ROWS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def split_category(df: DataFrame, dimension: DataFrame) -> DataFrame:

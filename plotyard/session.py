@@ -104,9 +104,20 @@ HEAVY_BYTES_PER_TASK = 4 << 20  # of the input files, for work of several CPU se
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the files and tables behind ``df`` by the optimizer's statistics; runs nothing."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    """Size of the files and tables behind ``df`` by the optimizer's statistics; runs nothing. Rows whose size Spark does not know (it then
+    gives the largest long) count as a split of SPREAD_BYTES_PER_TASK for each of their partitions."""
+    session = df.sparkSession
+    unknown = int(session._jsparkSession.sessionState().conf().defaultSizeInBytes())
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        size = int(str(leaf.stats().sizeInBytes()))
+        if size >= unknown:
+            of_rdd = leaf.getClass().getSimpleName() in ("LogicalRDD", "ExternalRDD")
+            splits = leaf.rdd().getNumPartitions() if of_rdd else session.sparkContext.defaultParallelism
+            size = splits * SPREAD_BYTES_PER_TASK
+        total += size
+    return total
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

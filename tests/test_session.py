@@ -67,3 +67,18 @@ def test_text_flags_are_dealt_into_small_tasks(spark, monkeypatch):
     tasks = cores * session.SPREAD_BYTES_PER_TASK // session.HEAVY_BYTES_PER_TASK
     assert flagged.rdd.getNumPartitions() == tasks
     assert flagged.count() == 20
+
+
+def test_rows_of_unknown_size_are_dealt_by_their_partitions(spark):
+    from plotyard.operators import prepare
+
+    cores, heavy = spark.sparkContext.defaultParallelism, session.SPREAD_BYTES_PER_TASK // session.HEAVY_BYTES_PER_TASK
+    rows = [(i, "شقه", "مسبح") for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, title string, content string").coalesce(1)  # its statistics are the largest long
+    leaf_splits = spark.createDataFrame(rows, "id long, title string, content string").rdd.getNumPartitions()
+    assert session.input_bytes(df) == leaf_splits * session.SPREAD_BYTES_PER_TASK
+    flagged = prepare.with_text_flags(df)
+    assert flagged.rdd.getNumPartitions() == max(cores, leaf_splits * heavy)
+    assert flagged.count() == 20
+    assert session.input_bytes(prepare.category_dimension(spark)) < 1 << 20
+    assert session.input_bytes(spark.range(10).unionByName(df.select("id"))) > session.SPREAD_BYTES_PER_TASK - 1
