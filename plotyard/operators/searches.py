@@ -9,6 +9,8 @@ shape in use - at most 64 - and the exact predicate then runs on the joined rows
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from plotyard import fixed_values as fv
 from plotyard.functions.predicates import finite
 from plotyard.operators.joins import null_safe_join
 from plotyard.operators.range_counts import count_blocks
-from plotyard.session import BROADCAST_MAX_ROWS, cut_lineage, spread
+from plotyard.session import BROADCAST_MAX_ROWS, cut_lineage, discard, hand_over, spread
 
 CRITERIA = (
     "purpose", "estate_type", "price_min", "price_max", "area_min", "area_max", "min_beds",
@@ -63,8 +65,8 @@ def _km_per_lng(lat: Column) -> Column:
     return F.lit(fv.KM_PER_DEGREE) * F.cos(F.radians(lat))
 
 
-def _search_keys(distinct: DataFrame) -> DataFrame:
-    """One row per key combination a search can be met under."""
+def _key_lists(distinct: DataFrame) -> DataFrame:
+    """Searches with their shape, the keys they set once, and lists of those they are met under: grid cells and price bins."""
     priced = F.col("price_min").isNotNull() | F.col("price_max").isNotNull()
     near = F.col("near_km").isNotNull()
     dlat = F.col("near_km") / fv.KM_PER_DEGREE
@@ -86,22 +88,28 @@ def _search_keys(distinct: DataFrame) -> DataFrame:
     )
     given = [F.col(c).isNotNull() for c in ("purpose", "estate_type", "city", "district")]
     shape = F.concat(*[F.when(g, "1").otherwise("0") for g in [*given, near, priced]])
-    return (
-        distinct.withColumns(
-            {
-                "k_shape": shape,
-                "k_purpose": F.coalesce("purpose", F.lit("")),
-                "k_type": F.coalesce("estate_type", F.lit("")),
-                "k_city": F.coalesce("city", F.lit("")),
-                "k_district": F.coalesce("district", F.lit("")),
-            }
-        )
-        .withColumn("k_gy", F.explode(cells("near_lat", dlat)))
-        .withColumn("k_gx", F.explode(cells("near_lng", dlng)))
-        .withColumn("k_bin", F.explode(bins))
+    return distinct.withColumns(
+        {
+            "k_shape": shape,
+            "k_purpose": F.coalesce("purpose", F.lit("")),
+            "k_type": F.coalesce("estate_type", F.lit("")),
+            "k_city": F.coalesce("city", F.lit("")),
+            "k_district": F.coalesce("district", F.lit("")),
+            "k_gy": cells("near_lat", dlat),
+            "k_gx": cells("near_lng", dlng),
+            "k_bin": bins,
+        }
     )
 
 
+def _search_keys(distinct: DataFrame) -> DataFrame:
+    """One row per key combination a search can be met under, some dozens a search: made where they are read, never written."""
+    listed = _key_lists(distinct)
+    for k in ("k_gy", "k_gx", "k_bin"):
+        listed = listed.withColumn(k, F.explode(k))
+    return listed
+
+
 def _listing_keys(listings: DataFrame, shapes: list[str]) -> DataFrame:
     """One row per (listing, shape in use); a listing without the value a shape needs has no key."""
 
@@ -152,7 +160,7 @@ def match(listings: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFram
     """(pairs, members): pairs of a distinct search ``rep`` and a matching listing, and the
     ``search_id`` to ``rep`` mapping. Searches that ask the same are matched once."""
     reps, members = _distinct(searches)
-    return _pairs(listings, cut_lineage(_search_keys(reps))), members
+    return _pairs(listings, cut_lineage(reps)), members
 
 
 def _distinct(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,23 +169,29 @@ def _distinct(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, null_safe_join(wanted, reps, CRITERIA).select("search_id", "rep")
 
 
-def _pairs(listings: DataFrame, keyed: DataFrame, salted: bool = True) -> DataFrame:
-    """Matches of listings and the searches of ``keyed`` (written ``_search_keys``)."""
-    # a shape is six yes/no marks, so at most 64 of them reach the driver
-    shapes = sorted(r[0] for r in keyed.select("k_shape").distinct().collect())
+def _keys_by_shape(reps: DataFrame) -> dict[str, int]:
+    """Keys of the searches of each shape; a shape is six yes/no marks, so at most 64 of them reach the driver."""
+    combinations = F.size("k_gy").cast("long") * F.size("k_gx") * F.size("k_bin")
+    found = _key_lists(reps).groupBy("k_shape").agg(F.sum(combinations).alias("keys")).orderBy("k_shape").collect()
+    return {r["k_shape"]: r["keys"] for r in found}
+
+
+def _pairs(listings: DataFrame, reps: DataFrame, salted: bool = True, most: int | None = None, few: bool = False) -> DataFrame:
+    """Matches of ``listings``, ``most`` of them where that is known, and distinct searches, ``few`` where a broadcast holds their keys."""
+    by_shape = _keys_by_shape(reps)
+    shapes, keyed = list(by_shape), sum(by_shape.values())
     offered = _listing_keys(
-        spread(listings, "id").select(
-            "id", "lat", "lng", "price", "area", "beds", "estate_benefit", "estate_type", "city",
-            "district", "last_update",
-        ),
+        spread(listings, "id").select(*_LISTING_COLUMNS),
         shapes,
     ).drop("estate_type", "city", "district", "estate_benefit")
-    criteria = keyed.select(
+    criteria = _search_keys(reps).select(
         "rep", *_KEYS, *[c for c in CRITERIA if c not in ("purpose", "estate_type", "city", "district")]
     )
     keys = list(_KEYS)
-    if keyed.count() <= BROADCAST_MAX_ROWS:
+    if few or keyed <= BROADCAST_MAX_ROWS:
         criteria = F.broadcast(criteria)
+    elif most is not None and most * len(shapes) <= BROADCAST_MAX_ROWS:
+        offered = F.broadcast(offered)
     elif salted:
         # a key many listings share is spread over salts, its searches repeated per salt
         offered = offered.withColumn("k_salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
@@ -350,6 +364,8 @@ def match_counts(listings: DataFrame, searches: DataFrame) -> DataFrame:
     )
 
 
+_LISTING_COLUMNS = ("id", "lat", "lng", "price", "area", "beds", "estate_benefit", "estate_type", "city", "district", "last_update")
+_MOST_PARTS = 64  # passes over a slice's listings at most
 _FIRST_SLICES = (500, 4_000, 32_000)  # newest listings tried first; later slices are eight times as many
 _CUT_ROWS = 20_000  # rows that choose the later cuts
 
@@ -372,11 +388,44 @@ def _cuts(listings: DataFrame) -> list[tuple[object, object]]:
     return cuts
 
 
+def _search_parts(by_shape: dict[str, int], limit: int) -> list[tuple[list[str], int, int]]:
+    """(shapes, n, k): the searches of these shapes whose hash is k modulo n, so that a part has about ``limit`` keys at most."""
+    parts, shapes, keys, limit = [], [], 0, max(1, limit)
+    for shape, n in sorted(by_shape.items(), key=lambda x: x[1]):
+        if n > limit:
+            split = -(-5 * n // (4 * limit))  # hashed parts differ in size
+            parts += [([shape], split, k) for k in range(split)]
+            continue
+        if keys + n > limit:
+            parts.append((shapes, 1, 0))
+            shapes, keys = [], 0
+        shapes, keys = [*shapes, shape], keys + n
+    return [*parts, (shapes, 1, 0)] if shapes else parts
+
+
+def _hits(listings: DataFrame, reps: DataFrame, top: Callable[[DataFrame], DataFrame], last: bool, most: int | None) -> DataFrame:
+    """The newest matches of a slice, written. Searches of too many keys for one broadcast come in parts, each with a broadcast of its own: the
+    slice's listings are then written once as they are, and no row per listing and shape is ever shuffled."""
+    by_shape = _keys_by_shape(reps)
+    few = sum(by_shape.values()) <= BROADCAST_MAX_ROWS or most is not None
+    parts = [] if few else _search_parts(by_shape, BROADCAST_MAX_ROWS)
+    if few or len(parts) > _MOST_PARTS:
+        return cut_lineage(top(_pairs(listings, reps, last, most)).drop("rank"))
+    held, found = hand_over(listings.select(*_LISTING_COLUMNS), "slice"), None
+    shaped = _key_lists(reps)
+    for shapes, n, k in parts:
+        part = shaped.filter(F.col("k_shape").isin(shapes) & (F.pmod(F.xxhash64("rep"), F.lit(n)) == k)).select(*reps.columns)
+        hits = cut_lineage(top(_pairs(held, part, few=True)).drop("rank"))
+        found = hits if found is None else found.unionByName(hits)
+    discard(held)
+    return found
+
+
 def newest_matches(listings: DataFrame, searches: DataFrame, n: int = 10) -> DataFrame:
     """Top-n newest listings per search. Searches meet the newest listings first, in slices of growing size, and one that has
     n hits meets no older slice; a small slice needs no salts; so a broad search makes few pairs, and only narrow ones come to the last slice."""
     reps, members = _distinct(searches)
-    keyed = cut_lineage(_search_keys(reps))
+    asked = cut_lineage(reps)
     order = Window.partitionBy("rep").orderBy(F.col("last_update").desc(), F.col("id"))
     top = lambda pairs: pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
@@ -385,14 +434,15 @@ def newest_matches(listings: DataFrame, searches: DataFrame, n: int = 10) -> Dat
         return F.coalesce((F.col("last_update") > updated) | ((F.col("last_update") == updated) & (F.col("id") <= id_)), F.lit(False))
 
     found, earlier = None, F.lit(False)
-    for cut in [*_cuts(listings), None]:
+    for i, cut in enumerate([*_cuts(listings), None]):
         until = within(cut) if cut else F.lit(True)
-        hits = cut_lineage(top(_pairs(listings.filter(until & ~earlier), keyed, salted=cut is None)).drop("rank"))
+        most = _FIRST_SLICES[i] if cut and i < len(_FIRST_SLICES) else None
+        hits = _hits(listings.filter(until & ~earlier), asked, top, cut is None, most)
         found = hits if found is None else found.unionByName(hits)
         if cut is None:
             break
         served = found.groupBy("rep").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= n)
-        keyed, earlier = cut_lineage(keyed.join(served, "rep", "left_anti")), until
-        if keyed.isEmpty():
+        asked, earlier = cut_lineage(asked.join(served, "rep", "left_anti")), until
+        if asked.isEmpty():
             break
     return members.join(top(found), "rep").select("search_id", "rank", "id", "price", "last_update")

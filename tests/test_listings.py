@@ -151,6 +151,31 @@ def test_saved_searches_equal_the_full_comparison(spark, listings, monkeypatch,
         assert [r["id"] for r in sorted((x for x in newest if x["search_id"] == sid), key=lambda x: x["rank"])] == order
 
 
+def test_newest_matches_write_no_search_keys_and_no_row_per_shape(spark, listings, monkeypatch):
+    """Beyond one broadcast the searches of a slice come in parts; keys, some dozens a search, are never written."""
+    saved, seen, cut, split, pairs = _searches(spark), [], searches.cut_lineage, searches._search_parts, searches._pairs
+    rows = listings.collect()
+    want = {s["search_id"]: {r["id"] for r in rows if _matches(r, s)} for s in saved.collect()}
+    monkeypatch.setattr(searches, "BROADCAST_MAX_ROWS", 60)
+    monkeypatch.setattr(searches, "_FIRST_SLICES", (5,))
+    monkeypatch.setattr(searches, "cut_lineage", lambda df: seen.append(set(df.columns)) or cut(df))
+    parts, plans = [], []
+    monkeypatch.setattr(searches, "_search_parts", lambda *a: parts.append(split(*a)) or parts[-1])
+
+    def planned(*a, **k):
+        found = pairs(*a, **k)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    monkeypatch.setattr(searches, "_pairs", planned)
+    newest = searches.newest_matches(listings, saved, 1_000).collect()
+    got = {s: {r["id"] for r in newest if r["search_id"] == s} for s in want}
+    assert got == want
+    assert not any(c.startswith("k_") for columns in seen for c in columns)
+    assert parts and all(1 < len(p) <= searches._MOST_PARTS for p in parts) and not any("k_salt" in p for p in plans)
+    assert sorted(searches._search_parts({"a": 10, "b": 90, "c": 20}, 40)) == [(["a", "c"], 1, 0), (["b"], 3, 0), (["b"], 3, 1), (["b"], 3, 2)]
+
+
 def test_counting_joins_grow_with_searches_and_listings(spark, listings):
     """Ten times the listings: the cube's rows stay, the listings opened at edges grow ten times, no pair is listed for whole bins."""
     saved = _searches(spark)
