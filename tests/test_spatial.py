@@ -259,3 +259,18 @@ def test_a_point_is_tested_against_open_triangles_only(monkeypatch):
         {e for e, n in Counter(e for t in tris for e in outlines._edges(tuple(int(v) for v in t))).items() if n == 1}, points
     )
     assert len(tris) == 2 * len(points) - 2 - (len(hull) - 1)  # Euler's count of a whole triangulation
+
+
+def test_district_distances_are_measured_once(spark):
+    """Medians, means and sums read written rows; the plan that makes them has no spatial step of its own."""
+    import os
+
+    import __spark_entry__ as entry_module
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("driver tables are not here")
+    found = entry_module.queries()["D2_district_distances"](spark, folder)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "parquet" in plan
+    assert found.count() > 20
